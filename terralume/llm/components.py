@@ -1,0 +1,38 @@
+"""Connected components of an edge table: alternating large-star and small-star rounds.
+
+Each round is two grouped joins; labels only shrink, a hub's edges are pre-aggregated by ``min``, and
+the number of rounds grows with the logarithm of the longest path.  Rounds are written to the
+checkpoint folder; the driver sees counts only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root (the smallest node of its component) for nodes of ``edges`` (a, b: long, non-null)."""
+    pair = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = scratch.put(pair)
+    while True:
+        # large star: every node sends its larger neighbours to its smallest one
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        star = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: every node and its smaller neighbours go to the smallest of them
+        least = star.groupBy("u").agg(F.min("v").alias("m"))
+        moved = star.join(least, "u")
+        small = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        after = scratch.put(small.filter("u <> v").distinct())
+        # done when the edges are stars: nobody is both above and below
+        still = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        many = 0 if still else after.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+        scratch.drop(now)
+        now = after
+        if not still and not many:
+            break
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, repetition, url_trust
+from . import bpe, exact_dedup, mixing, near_dup, repetition, substring_dedup, url_trust
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op2_bpe_codec": bpe.encode_query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_url_trust": url_trust.query,
+        "op5_near_dup": near_dup.query,
         "op6_token_counts": bpe.count_query,
+        "op8_substring_dedup": substring_dedup.query,
         "op9_repetition_rules": repetition.query,
         "op10_source_mixing": mixing.query,
     }
