@@ -49,8 +49,9 @@ def targets(sizes: DataFrame) -> DataFrame:
             "open": F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)),
         }
     ).withColumn("level", F.col("left") / F.col("open"))
-    level = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(every)
-    target = F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("weight")))
+    # "level" would be reached if just the sources before were full: it rises up to the first source
+    # that is not and falls after it, so the level is the greatest
+    target = F.least("cap", F.max("level").over(every) * F.col("weight"))
     return per.select("source", F.col("words").cast("long").alias("source_size"), target.alias("target"))
 
 
@@ -94,8 +95,8 @@ s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS words FROM d GROUP BY source),
 w AS (SELECT *, CAST([{", ".join(map(str, WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS DOUBLE) AS weight, words * {MOST} AS cap FROM s),
 f AS (SELECT *, (sum(words) OVER () * {SHARE} - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-l AS (SELECT min(level) FILTER (WHERE cap > level * weight) AS level FROM f),
-t AS (SELECT source, words, CASE WHEN l.level IS NULL THEN cap ELSE least(cap, l.level * weight) END AS target FROM f, l),
+l AS (SELECT max(level) AS level FROM f),
+t AS (SELECT source, words, least(cap, l.level * weight) AS target FROM f, l),
 r AS (SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target, CASE WHEN words > 0 THEN target / words ELSE 0 END AS rate,
         CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52} AS chance
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
