@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dup, repetition, substring_dedup, url_trust
+from . import bpe, exact_dedup, mixing, near_dup, pii, repetition, substring_dedup, url_trust
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_url_trust": url_trust.query,
         "op5_near_dup": near_dup.query,
         "op6_token_counts": bpe.count_query,
+        "op7_pii": pii.query,
         "op8_substring_dedup": substring_dedup.query,
         "op9_repetition_rules": repetition.query,
         "op10_source_mixing": mixing.query,
