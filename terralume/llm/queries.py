@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dup, pii, repetition, substring_dedup, url_trust
+from . import bpe, exact_dedup, mixing, near_dup, pii, repetition, rule_ensemble, substring_dedup, url_trust
 
 
 def queries() -> dict:
     return {
+        "op1_rule_ensemble": rule_ensemble.query,
         "op2_bpe_codec": bpe.encode_query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_url_trust": url_trust.query,
