@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import canopy, labels, scenes
+
+_ALL = scenes.QUERIES | canopy.QUERIES | labels.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
