@@ -41,7 +41,7 @@ def cloud_masked(obs: DataFrame, keep: Sequence[int] = CLEAR_SCL) -> DataFrame:
 
 def solar_day_mosaic(obs: DataFrame, keys: Sequence[str], bands: Sequence[str], lon: str = "lon", ts: str = "ts") -> DataFrame:
     """One observation for each pixel and solar day: of each band the first scene's valid value."""
-    day = F.to_date((F.unix_micros(ts) / 1_000_000 + F.col(lon) * 240).cast("timestamp"))
+    day = F.to_date(F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col(lon) * 240).cast("decimal(18,6)")))
     first = lambda b: F.min_by(b, F.when(F.col(b).isNotNull(), F.col(ts))).alias(b)
     return obs.groupBy(*keys, day.alias("solar_day")).agg(*[first(b) for b in bands])
 

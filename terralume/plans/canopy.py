@@ -243,7 +243,6 @@ _OPENED = f"WITH RECURSIVE {V.CHM}, {_DIM}, {_D}, {_MASK}, {_open('tall', 'o')}"
 _ONE = f"""WITH {V.CHM}, {_DIM}, n AS (SELECT CAST(ceil((mr + 1) / {TILE}) AS INT) AS nr, CAST(ceil((mc + 1) / {TILE}) AS INT) AS nc FROM dim),
 tl AS (SELECT printf('r%03dc%03d', i, j) AS tile_id, i, j FROM n, range(nr) a(i), range(nc) b(j)),
 pt AS (SELECT chm.*, printf('r%03dc%03d', i, j) AS tile_id FROM chm, n, tl WHERE r >= floor(i * CAST({TILE} AS DOUBLE)) AND r < ceil((i + 1) * CAST({TILE} AS DOUBLE)) AND c >= floor(j * CAST({TILE} AS DOUBLE)) AND c < ceil((j + 1) * CAST({TILE} AS DOUBLE)))"""
-_PL = "valid AS (SELECT 1)"
 _STATS = f"""{_ONE}, pl AS (SELECT tile_id, h IS NOT NULL AS valid, coalesce(h >= 2, false) AS raw, r % 11 < 4 AND c % 13 < 5 AS building FROM pt),
 ls AS (SELECT tile_id, CAST(2 AS DOUBLE) AS threshold_m, count_if(valid) AS valid_px, count_if(valid AND raw AND NOT building) AS canopy_px,
   CASE WHEN count_if(valid) > 0 THEN count_if(valid AND raw AND NOT building) / count_if(valid) * 100 ELSE 0 END AS canopy_pct,
@@ -267,8 +266,8 @@ maj AS (SELECT cr, cc, CAST(CASE WHEN k IS NOT NULL AND known / whole >= {cover}
 
 
 _AGREE = """cm AS (SELECT site, a, b, count(*) AS n FROM ab WHERE a IN (7, 1, 2, 6) AND b IN (7, 1, 2, 6) GROUP BY ALL),
-sd AS (SELECT site, k, sum(n) AS both FROM (SELECT site, a AS k, n FROM cm UNION ALL SELECT site, b, n FROM cm) GROUP BY ALL),
-iou AS (SELECT sd.site, sd.k, coalesce(cm.n, 0) AS hit, coalesce(cm.n, 0) / (both - coalesce(cm.n, 0)) AS iou FROM sd LEFT JOIN cm ON cm.site = sd.site AND cm.a = sd.k AND cm.b = sd.k),
+sd AS (SELECT site, k, sum(n)AS twosides FROM (SELECT site, a AS k, n FROM cm UNION ALL SELECT site, b, n FROM cm) GROUP BY ALL),
+iou AS (SELECT sd.site, sd.k, coalesce(cm.n, 0) AS hit, coalesce(cm.n, 0) / (twosides - coalesce(cm.n, 0)) AS iou FROM sd LEFT JOIN cm ON cm.site = sd.site AND cm.a = sd.k AND cm.b = sd.k),
 ag AS (SELECT cm.site, sum(n) FILTER (WHERE a = b) AS same, sum(n) AS n FROM cm GROUP BY cm.site)"""
 _GRID = """t AS (SELECT printf('r%03dc%03d', CAST(r AS INT), CAST(c AS INT)) AS tile_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range(21) a(r), range(22) b(c)),
 bl AS (SELECT *, CAST(floor(row * CAST(153.6 AS DOUBLE) / 1000) AS INT) AS block_row, CAST(floor(col * CAST(153.6 AS DOUBLE) / 1000) AS INT) AS block_col FROM t),
@@ -284,7 +283,7 @@ SELECT CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, CAST(12 AS INT) AS win, rou
 
 
 QUERIES = {
-    "exg": (exg, f"WITH {V.CHM} SELECT r, c, round(exg, 6) AS exg FROM chm"),
+    "exg": (exg, f"WITH {V.CHM} SELECT r, c, round(CASE WHEN abs(exg) < 5e-7 THEN 0 ELSE exg END, 6) AS exg FROM chm"),
     "chm_nodata": (chm_nodata, f"WITH {V.CHM} SELECT r, c, round(CASE WHEN c <> 3 THEN dsm - dem END, 6) AS chm, round(CASE WHEN c <> 3 THEN dsm - dem END, 6) AS chm_floor FROM chm"),
     "threshold_mask_2_3_5": (threshold_mask_2_3_5, f"WITH {V.CHM} SELECT count(h) AS valid, count_if(h >= 2) AS m2, count_if(h >= 3) AS m3, count_if(h >= 5) AS m5 FROM chm"),
     "labels_height_greenness": (labels_height_greenness, f"WITH {V.CHM} SELECT r, c, CAST({_HG} AS INT) AS cls FROM chm"),
@@ -313,8 +312,7 @@ QUERIES = {
     "components": (components, f"{_OPENED}, {_label('o', 'l')} SELECT comp, count(*) AS area FROM l GROUP BY comp"),
     "drop_small": (drop_small, f"{_OPENED}, {_label('o', 'l')} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM l WHERE comp IN (SELECT comp FROM l GROUP BY comp HAVING count(*) >= 8)"),
     "roof_suppression": (roof_suppression, f"{_OPENED}, {_label('o', 'l')} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM l WHERE comp NOT IN (SELECT comp FROM l JOIN chm USING (r, c) GROUP BY comp HAVING count(*) >= 8 AND median(coalesce(exg, -1)) < 0.05)"),
-    "pseudo_label_pipeline": (pseudo_label_pipeline, f"""WITH RECURSIVE {V.CHM}, {_DIM}, {_D}, {_BOXES}, bld AS ({_BURN.replace('c + 1 > x0', 'c + 1 > x0 - 0').replace('WHERE', 'WHERE')}),
-        bb AS (SELECT DISTINCT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM boxes, range(40) a(r), range(50) b(c) WHERE power(greatest(0, x0 - c - 1, c - x1), 2) + power(greatest(0, y0 - (40 - r), 39 - r - y1), 2) <= 1),
+    "pseudo_label_pipeline": (pseudo_label_pipeline, f"""WITH RECURSIVE {V.CHM}, {_DIM}, {_D}, {_BOXES}, bb AS (SELECT DISTINCT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM boxes, range(40) a(r), range(50) b(c) WHERE power(greatest(0, x0 - c - 1, c - x1), 2) + power(greatest(0, y0 - (40 - r), 39 - r - y1), 2) <= 1),
         p AS (SELECT chm.r, chm.c, exg, h IS NOT NULL AS valid, coalesce(h >= 2, false) AS raw, bb.r IS NOT NULL AS building, coalesce(exg, -1) >= -0.2 AS green FROM chm LEFT JOIN bb ON bb.r = chm.r AND bb.c = chm.c),
         q AS (SELECT *, raw AND NOT building AND green AS removed FROM p), tall AS (SELECT r, c FROM q WHERE removed), {_open('tall', 'o')}, {_label('o', 'l')},
         big AS (SELECT * FROM l WHERE comp IN (SELECT comp FROM l GROUP BY comp HAVING count(*) >= 4)),

@@ -200,8 +200,8 @@ def _aoi_values() -> str:
 
 
 _CM = "cm AS (SELECT {k}a, b, count(*) AS n FROM pairs WHERE a IN (7, 1, 2, 6) AND b IN (7, 1, 2, 6) GROUP BY ALL)"
-_IOU = """sd AS (SELECT site, k, sum(n) AS both FROM (SELECT site, a AS k, n FROM cm UNION ALL SELECT site, b, n FROM cm) GROUP BY ALL),
-iou AS (SELECT sd.site, CAST(sd.k AS INT) AS cls, CAST(coalesce(cm.n, 0) AS BIGINT) AS hit, coalesce(cm.n, 0) / (both - coalesce(cm.n, 0)) AS iou FROM sd LEFT JOIN cm ON cm.site = sd.site AND cm.a = sd.k AND cm.b = sd.k)"""
+_IOU = """sd AS (SELECT site, k, sum(n)AS twosides FROM (SELECT site, a AS k, n FROM cm UNION ALL SELECT site, b, n FROM cm) GROUP BY ALL),
+iou AS (SELECT sd.site, CAST(sd.k AS INT) AS cls, CAST(coalesce(cm.n, 0) AS BIGINT) AS hit, coalesce(cm.n, 0) / (twosides - coalesce(cm.n, 0)) AS iou FROM sd LEFT JOIN cm ON cm.site = sd.site AND cm.a = sd.k AND cm.b = sd.k)"""
 _XW = lambda c: f"CASE WHEN {c} IN (7, 6) THEN 1 WHEN {c} = 1 THEN 2 WHEN {c} = 2 THEN 3 ELSE 0 END"
 _KAPPA = """g AS (SELECT coalesce(site, '*') AS site, a, b, CAST(count(*) AS DOUBLE) AS n FROM kp WHERE a >= 1 AND b >= 1 GROUP BY GROUPING SETS ((site, a, b), (a, b))),
 ka AS (SELECT site, a AS k, sum(n) AS x FROM g GROUP BY ALL), kb AS (SELECT site, b AS k, sum(n) AS y FROM g GROUP BY ALL),

@@ -45,7 +45,7 @@ def _composite_sql(unit):
 
 def composite_dense_calendar(spark, sf):
     ev = V.ev_obs(spark, sf).filter(F.col("event_type") == "purchase").select(F.col("pixel"), "ts", F.col("value").alias("v"))
-    some = ev.withColumn("ts", F.to_timestamp(F.date_trunc("day", "ts") + F.expr("make_interval(0, pixel % 9)")))
+    some = ev.withColumn("ts", F.to_timestamp(F.date_trunc("day", "ts") + F.expr("make_interval(cast(pixel % 9 as int))")))
     comp = temporal.period_median(some, ["pixel"], ["v"], "monthly")
     full = temporal.dense_periods(comp, ["pixel"], "monthly")
     return full.select("pixel", F.to_date("period_start").alias("period"), r6(F.col("v")).alias("v"))
