@@ -277,9 +277,10 @@ _BURN = "SELECT DISTINCT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM boxes, ra
 
 
 def _window(value: str, agg: str) -> str:
-    return f"""WITH {V.CHM}, {_DIM}, v AS (SELECT r, c, {value} AS v FROM chm), a AS (SELECT i * 3 AS y0, j * 3 AS x0 FROM dim, range(200) p(i), range(200) q(j) WHERE i * 3 + 12 <= mr + 1 AND j * 3 + 12 <= mc + 1),
-s AS (SELECT y0, x0, round({agg}(v), 9) AS score FROM a JOIN v ON r >= y0 AND r < y0 + 12 AND c >= x0 AND c < x0 + 12 GROUP BY ALL)
-SELECT CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, CAST(12 AS INT) AS win, round(score, 6) AS score FROM s ORDER BY score DESC, y0, x0 LIMIT 1"""
+    return f"""WITH {V.CHM}, {_DIM}, v AS (SELECT r, c, {value} AS v FROM chm), k AS (SELECT *, least(12, mr + 1, mc + 1) AS win, greatest(1, least(12, mr + 1, mc + 1) // 4) AS stride FROM dim),
+a AS (SELECT i * stride AS y0, j * stride AS x0, win FROM k, range(2000) p(i), range(200) q(j) WHERE i * stride + win <= mr + 1 AND j * stride + win <= mc + 1),
+s AS (SELECT y0, x0, win, round({agg}(v), 9) AS score FROM a JOIN v ON r >= y0 AND r < y0 + win AND c >= x0 AND c < x0 + win GROUP BY ALL)
+SELECT CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, CAST(win AS INT) AS win, round(score, 6) AS score FROM s ORDER BY score DESC, y0, x0 LIMIT 1"""
 
 
 QUERIES = {
