@@ -95,6 +95,17 @@ def small_side(df: DataFrame, row_bytes: Column | int, cap: int = BROADCAST_BYTE
     return F.broadcast(df) if total <= cap else df
 
 
+#: Rows of text that travel to Python at once.
+BATCH_ROWS = 1000
+
+
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Text rows are wide: unless the session says otherwise, Arrow batches hold ``BATCH_ROWS`` of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with per-task state: ``make()`` runs once in a task and gives the batch function."""
 
@@ -104,6 +115,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows:
                 yield fn(batch)
 
+    few_rows_a_batch(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -44,8 +44,8 @@ from .common import Scratch, batch, map_batches, partitions, small_side, table,
 LENGTH = 200
 GRAM = 64
 PICK = LENGTH - GRAM + 1
-SLICE = 2 << 20
-CHUNK = 4 << 20
+SLICE = 1 << 20
+CHUNK = 1 << 20
 HOT = 20_000
 #: Spans that are sorted together.
 GROUP_SPANS = 8_000
