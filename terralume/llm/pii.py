@@ -6,7 +6,10 @@ different values of one kind different ones:
 
 * card: 13 to 19 digits, plain or in groups of four, with a right check digit.  The digits before it
   are permuted and a new check digit is put.
-* phone: +1 and ten digits, with the usual marks between.  The ten digits are permuted.
+* phone: ten digits in groups, with or without +1 before them; the ten digits are permuted, so both
+  ways of writing a number stay linked.  Other numbers with + and 8 to 15 digits keep the first two.
+* iban: two capitals, two check digits that hold (mod 97) and 11 to 30 digits or capitals, plain or in
+  groups of four.  Its digits (the last 18 of more) are permuted and new check digits are put.
 * ip: four numbers to 255.  The 32 bits are permuted.
 * ssn: ddd-dd-dddd with an issued area, group and serial; permuted among such numbers.
 * date: a real day in 1900 to 2099, as yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy; permuted
@@ -38,16 +41,18 @@ from .common import table
 KEY = "terralume-development-key"
 ROUNDS = 8
 DAYS = 73049  # 1900-01-01 .. 2099-12-31
-KINDS = ("email", "phone", "card", "ip", "ssn", "date", "key", "token")
+KINDS = ("email", "phone", "card", "iban", "ip", "ssn", "date", "key", "token")
 
 #: What may be personal, by kind; a match of the whole is told apart by these again.
 FORMS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "phone": r"\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}",
+    "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4})|\+1[0-9]{10}",
+    "abroad": r"\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "date": r"[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
-    "card": r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{13,19}",
+    "date": r"[0-9]{4}([-/])[0-9]{2}\2[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
+    "card": r"[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{13,19}",
     "key": r"AKIA[A-Z0-9]{16}",
     "token": r"[0-9a-f]{32,64}",
 }
@@ -57,11 +62,11 @@ _RIGHT = r"(?![A-Za-z0-9_@])(?![.-][0-9])"
 #: In the order in which they are tried at a place.
 ANY = _LEFT + "(?:" + "|".join(f"(?:{FORMS[k]})" for k in FORMS) + ")" + _RIGHT
 #: A quick look whether a text can hold any: most cannot.
-HINT = r"[0-9]{3}|@|AKIA|[0-9]\.[0-9]|[0-9a-f]{32}"
+HINT = r"[0-9]{3}|@|\+[0-9]|AKIA|[0-9]\.[0-9]|[0-9a-f]{32}"
 
 
 def _whole(kind: str) -> str:
-    return "^(?:" + FORMS[kind].replace(r"\2", r"\1") + ")$"
+    return "^(?:" + FORMS[kind].replace(r"\2", r"\1").replace(r"\3", r"\1") + ")$"
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -122,18 +127,51 @@ def _padded(x: Column, n: Column | int) -> Column:
 def _card(m: Column, key: str) -> tuple[Column, Column]:
     d = _digits(m)
     body = F.substring(d, F.lit(1), F.length(d) - 1)
-    n = F.length(body)
-    half = F.floor(n / 2)
-    new = _padded(permute(body.cast("long"), _power(n - half), _power(half), key, "card"), n)
+    new = _long_number(body, key, "card")
     check = (10 - _luhn_sum(new, 0) % 10) % 10
     valid = (_luhn_sum(d, 1) % 10 == 0) & ~d.rlike("^0+$")
     return valid, _fill(m, F.concat(new, check.cast("string")))
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
-    d = F.substring(_digits(m), 2, 10)
-    new = permute(d.cast("long"), F.lit(10**5), F.lit(10**5), key, "phone")
-    return F.lit(True), _fill(m, F.concat(F.lit("1"), _padded(new, 10)))
+    d = _digits(m)
+    new = permute(F.right(d, F.lit(10)).cast("long"), F.lit(10**5), F.lit(10**5), key, "phone")
+    return F.lit(True), _fill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _padded(new, 10)))
+
+
+def _long_number(d: Column, key: str, kind: str) -> Column:
+    """2 to 18 digits to as many."""
+    n = F.length(d)
+    half = F.floor(n / 2)
+    return _padded(permute(d.cast("long"), _power(n - half), _power(half), key, kind), n)
+
+
+def _abroad(m: Column, key: str) -> tuple[Column, Column]:
+    d = _digits(m)
+    valid = F.length(d).between(8, 15)
+    return valid, F.when(valid, _fill(m, F.concat(F.substring(d, 1, 2), _long_number(F.substring(d, F.lit(3), F.length(d) - 2), key, "abroad"))))
+
+
+def _mod97(code: Column) -> Column:
+    """An IBAN without spaces, its first four characters moved to the end, letters as 10 to 35, modulo 97."""
+    turned = F.concat(F.substring(code, F.lit(5), F.length(code) - 4), F.substring(code, 1, 4))
+
+    def add(acc: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), add)
+
+
+def _iban(m: Column, key: str) -> tuple[Column, Column]:
+    code = F.replace(m, F.lit(" "), F.lit(""))
+    rest = _digits(F.substring(code, F.lit(5), F.length(code) - 4))
+    n = F.length(rest)
+    valid = F.length(code).between(15, 34) & (n >= 2) & (_mod97(code) == 1)
+    moved = F.least(n, F.lit(18))
+    new = F.concat(F.substring(rest, F.lit(1), n - moved), _long_number(F.right(rest, moved), key, "iban"))
+    blank = _fill(code, F.concat(F.lit("00"), new))
+    check = _padded(98 - _mod97(blank), 2)
+    return valid, F.when(valid, _fill(m, F.concat(check, new)))
 
 
 def _ip(m: Column, key: str) -> tuple[Column, Column]:
@@ -180,7 +218,7 @@ def _secret(m: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16)))).otherwise(F.substring(digest, F.lit(1), F.length(m)))
 
 
-_RULES: dict[str, Callable] = {"email": _email, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card, "key": _secret, "token": _secret}
+_RULES: dict[str, Callable] = {"email": _email, "phone": _phone, "abroad": _abroad, "iban": _iban, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card, "key": _secret, "token": _secret}
 
 
 def _judged(m: Column, key: str) -> Column:
@@ -189,7 +227,8 @@ def _judged(m: Column, key: str) -> Column:
     for name, rule in _RULES.items():
         valid, other = rule(m, key)
         fits = m.rlike(_whole(name))
-        kind = F.when(fits, F.when(valid, name)) if kind is None else kind.when(fits, F.when(valid, name))
+        told = "phone" if name == "abroad" else name
+        kind = F.when(fits, F.when(valid, told)) if kind is None else kind.when(fits, F.when(valid, told))
         new = F.when(fits, F.when(valid, other).otherwise(m)) if new is None else new.when(fits, F.when(valid, other).otherwise(m))
     return F.struct(kind.alias("kind"), new.otherwise(m).alias("new"))
 
