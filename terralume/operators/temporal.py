@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.classes import CLEAR_SCL
 from ..functions.indices import harmonise
 
+#: Bands that a scene is loaded with unless others are asked for.
+DEFAULT_BANDS = ("b02", "b03", "b04", "b05", "b06", "b07", "b08", "b11", "scl")
 #: Period name -> (date_trunc unit, step of the calendar).
 PERIODS = {"annual": ("year", "interval 1 year"), "seasonal": ("quarter", "interval 3 month"), "monthly": ("month", "interval 1 month")}
 

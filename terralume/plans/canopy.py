@@ -188,13 +188,17 @@ def resample_bilinear(spark, sf):
 
 def bridge_report(spark, sf):
     """Fine classes on a coarse grid against the satellite's classes, on the common scheme."""
-    coarse = resample.majority(_fine(spark, sf), 2, min_coverage=0.5).select(F.col("cr").alias("y"), F.col("cc").alias("x"), classes.collapse("cls").alias("fine"))
-    sat = V.labelled(spark, sf).filter(F.col("year") == 1998).select("site", "y", "x", classes.collapse("cls").alias("sat"))
-    cm = metrics.confusion(coarse.join(sat, ["y", "x"]), "fine", "sat", classes.COMMON, ["site"])
-    got = metrics.agreement(cm, ["site"])
+    sat = V.labelled(spark, sf).filter(F.col("year") == 1998).select("site", F.col("y").alias("cr"), F.col("x").alias("cc"), "cls")
+    _, got = pipelines.bridge(_fine(spark, sf), sat, 2, keys=("site",))
     return got.select("site", r6(F.col("overall")).alias("overall"), r6(F.col("mean_iou")).alias("mean_iou"), "n")
 
 
+def purity_mean(spark, sf):
+    """Mean purity of the cells that have one, and the share of cells without a class."""
+    got = resample.majority(_fine(spark, sf), 10, min_coverage=0.97)
+    return got.select(F.avg(F.when(F.col("purity") > 0, F.col("purity"))).alias("p"), metrics.share(F.col("cls") == 0).alias("e")).select(r6(F.col("p")).alias("purity"), r6(F.col("e")).alias("empty"))
+
+
 def best_window(spark, sf):
     px = V.chm_px(spark, sf).withColumn("v", F.coalesce("exg", F.lit(-9.0)))
     return grid.best_window(px, "v", 12, *V.dims(px)).select("y0", "x0", "win", r6(F.col("score")).alias("score"))
@@ -215,6 +219,11 @@ def heightmap(spark, sf):
     return got.select("gy", "gx", F.round(z, 2).alias("z"), (z >= 3).alias("canopy"))
 
 
+def heightmap_summary(spark, sf):
+    z = heightmap(spark, sf)
+    return z.agg(F.min("z").alias("zmin"), F.max("z").alias("zmax"), F.round(metrics.share(F.col("canopy")), 2).alias("canopy_fraction"), F.count(F.lit(1)).alias("n"))
+
+
 def decimate(spark, sf):
     px = V.chm_px(spark, sf)
     return grid.decimate(px, 10, *V.dims(px)).select("r", "c", "red", "green", "blue")
@@ -321,6 +330,7 @@ QUERIES = {
         SELECT q.r, q.c, valid, raw, building, removed, green, fin.r IS NOT NULL AS final FROM q LEFT JOIN fin ON fin.r = q.r AND fin.c = q.c"""),
     "class_fraction_stack": (class_fraction_stack, f"WITH {V.CHM}, {_FINE}, e AS (SELECT CAST(r // 10 AS INT) AS cr, CAST(c // 10 AS INT) AS cc, cls, count(*) AS k FROM fine GROUP BY ALL) SELECT cr, cc, cls, round(frac, 6) AS frac FROM (SELECT *, k / sum(k) OVER (PARTITION BY cr, cc) AS frac FROM e) WHERE cls <> 0"),
     "coarse_label_purity": (coarse_label_purity, f"WITH {V.CHM}, {_FINE}, {_maj(10, 0.97)} SELECT cr, cc, cls, round(purity, 6) AS purity, round(coverage, 6) AS coverage FROM maj"),
+    "purity_mean": (purity_mean, f"WITH {V.CHM}, {_FINE}, {_maj(10, 0.97)} SELECT round(avg(purity) FILTER (WHERE purity > 0), 6) AS purity, round(avg(CASE WHEN cls = 0 THEN 1.0 ELSE 0.0 END), 6) AS empty FROM maj"),
     "canopy_fraction": (canopy_fraction, f"WITH {V.CHM} SELECT CAST(r // 10 AS INT) AS cr, CAST(c // 10 AS INT) AS cc, round(avg(CASE WHEN h >= 3 THEN 1.0 ELSE 0.0 END), 6) AS frac FROM chm GROUP BY ALL"),
     "resample_average": (resample_average, f"""WITH {V.CHM}, {_DIM}, k AS (SELECT CAST(i - 1 AS INT) AS cr, CAST(j - 1 AS INT) AS cc FROM dim, range(2000) a(i), range(30) b(j) WHERE i <= mr),
         w AS (SELECT cr, cc, exg, (least(r + 1, cr * 2.5 + 3) - greatest(r, cr * 2.5 + 0.5)) * (least(c + 1, cc * 2.5 + 3) - greatest(c, cc * 2.5 + 0.5)) AS w FROM k JOIN chm ON r < cr * 2.5 + 3 AND r + 1 > cr * 2.5 + 0.5 AND c < cc * 2.5 + 3 AND c + 1 > cc * 2.5 + 0.5)
@@ -335,6 +345,8 @@ QUERIES = {
     "contrast_window": (contrast_window, _window("CASE WHEN h >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "stddev_pop")),
     "heightmap": (heightmap, f"""WITH {V.CHM}, ix AS (SELECT i, CAST(floor(i * 39 / 15) AS INT) AS p FROM range(16) t(i)), s AS (SELECT a.i AS gy, b.i AS gx, coalesce(h, 0) AS h FROM ix a, ix b JOIN chm ON chm.c = b.p WHERE chm.r = a.p),
         q AS (SELECT coalesce(quantile_cont(h, 0.99) FILTER (WHERE h > 0), 1) AS hi FROM s) SELECT CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(least(greatest(h, 0), hi), 2) AS z, least(greatest(h, 0), hi) >= 3 AS canopy FROM s, q"""),
+    "heightmap_summary": (heightmap_summary, f"""WITH {V.CHM}, ix AS (SELECT i, CAST(floor(i * 39 / 15) AS INT) AS p FROM range(16) t(i)), s AS (SELECT coalesce(h, 0) AS h FROM ix a, ix b JOIN chm ON chm.c = b.p WHERE chm.r = a.p),
+        q AS (SELECT coalesce(quantile_cont(h, 0.99) FILTER (WHERE h > 0), 1) AS hi FROM s) SELECT round(min(least(greatest(h, 0), hi)), 2) AS zmin, round(max(least(greatest(h, 0), hi)), 2) AS zmax, round(avg(CASE WHEN least(greatest(h, 0), hi) >= 3 THEN 1.0 ELSE 0.0 END), 2) AS canopy_fraction, count(*) AS n FROM s, q"""),
     "decimate": (decimate, f"WITH {V.CHM}, {_DIM} SELECT r, c, red, green, blue FROM chm, dim WHERE r % (greatest(mr + 1, mc + 1) // 10) = 0 AND c % (greatest(mr + 1, mc + 1) // 10) = 0"),
     "crop_bbox": (crop_bbox, f"WITH {V.CHM} SELECT r, c FROM chm WHERE c >= 10 AND c < 21 AND r >= 20 AND r < 35"),
 }

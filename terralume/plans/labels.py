@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classes, indices
 from ..operators import experiments, metrics, sampling, uncertainty
 from ..sources import config, rasters, sinks
+from . import pipelines
 from . import views as V
 from .views import r6
 
@@ -50,6 +51,21 @@ def cover_crosswalk(spark, sf):
     return codes.groupBy("code", classes.lookup("code", classes.COVER_TO_COMMON, 0).alias("common")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def cover_validation(spark, sf):
+    """Own classes against a stand-in land cover at the same pixels, by site and pooled."""
+    lab = V.labelled(spark, sf).filter(F.col("year") == 1998)
+    code = lab.select("site", "y", "x", F.when(F.col("x") % 5 == 0, 10).when(F.col("cls") == 1, 60).when(F.col("cls") == 2, 80).otherwise(30).alias("code"))
+    got = pipelines.validate_cover(lab, code)
+    return got.select("site", r6(F.col("kappa")).alias("kappa"), r6(F.col("overall")).alias("overall"), "n")
+
+
+def training_tiles(spark, sf):
+    """Tiles of 4 x 4 pixels for training, as arrays; here their sums."""
+    got = pipelines.training_tiles(V.labelled(spark, sf), 24, 24, 4, ("b03", "b04", "b08"))
+    total = lambda c: F.aggregate(F.transform(c, lambda v: v.cast("double")), F.lit(0.0), lambda a, v: a + v)
+    return got.select("tile_id", "row", "col", F.size("image").alias("n_image"), F.round(total(F.col("image")), 4).alias("image_sum"), total(F.col("mask")).cast("long").alias("mask_sum"), r6(F.col("valid")).alias("valid"))
+
+
 def validation_json(spark, sf):
     return sinks.validation_json(_kappa(spark, sf), "land cover")
 
@@ -232,6 +248,10 @@ QUERIES = {
     "kappa_quality_toxic": (kappa_quality_toxic, f"WITH kp AS (SELECT 'all' AS site, quality + 1 AS a, toxic + 1 AS b FROM labels), {_KAPPA} SELECT kappa, overall, n FROM ({_TOLD}) WHERE site IS NULL"),
     "cover_crosswalk": (cover_crosswalk, f"WITH {V.PX}, k AS (SELECT CAST((y * 24 + x) % 11 * 10 AS INT) AS code FROM px) SELECT code, CAST(CASE WHEN code IN (10, 20, 30, 40, 90, 95, 100) THEN 1 WHEN code IN (50, 60, 70) THEN 2 WHEN code = 80 THEN 3 ELSE 0 END AS INT) AS common, count(*) AS n FROM k GROUP BY ALL"),
     "validation_json": (validation_json, None),
+    "cover_validation": (cover_validation, f"""WITH {V.LABELLED}, kp AS (SELECT site, {_XW('cls')} AS a, CASE WHEN x % 5 = 0 THEN 1 WHEN cls = 1 THEN 2 WHEN cls = 2 THEN 3 ELSE 1 END AS b FROM lab WHERE year = 1998), {_KAPPA} {_TOLD}"""),
+    "training_tiles": (training_tiles, f"""WITH {V.LABELLED}, t AS (SELECT *, CAST(y // 4 AS INT) AS row, CAST(x // 4 AS INT) AS col, CASE cls WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 6 THEN 2 WHEN 7 THEN 3 ELSE 255 END AS k FROM lab)
+        SELECT printf('%s_%d_%03d_%03d', site, year, row, col) AS tile_id, row, col, CAST(48 AS INT) AS n_image, round(sum({' + '.join(f'CAST(CAST(least(greatest({b} / 10000, 0), 1) AS FLOAT) AS DOUBLE)' for b in ('b03', 'b04', 'b08'))}), 4) AS image_sum,
+          CAST(sum(k) AS BIGINT) AS mask_sum, round(count_if(cls <> 0) / 16, 6) AS valid FROM t GROUP BY site, year, row, col HAVING count(*) = 16 AND count_if(cls <> 0) / 16 >= 0.6"""),
     "strata": (strata, f"WITH {_STRATA} SELECT tile_id, canopy_bin, building_bin, edge_flag, stratum, priority, round(removed_ratio, 6) AS removed_ratio FROM st"),
     "round_robin_sample": (round_robin_sample, f"""WITH {_STRATA}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || tile_id), tile_id) AS INT) AS turn, min(priority) OVER (PARTITION BY stratum) AS least FROM st),
         p AS (SELECT *, row_number() OVER (ORDER BY turn, least, stratum) - 1 AS i FROM t) SELECT printf('m3_%04d', i) AS sample_id, tile_id, stratum, priority, turn FROM p WHERE i < 50"""),

@@ -86,3 +86,62 @@ def city_summary(planes: DataFrame, stats: DataFrame, px_area: float = 1.0) -> D
         F.count(F.lit(1)).cast("double").alias("tiles"), F.avg("canopy_pct").alias("tile_mean"), F.median("canopy_pct").alias("tile_median"), F.min("canopy_pct").alias("tile_min"), F.max("canopy_pct").alias("tile_max")
     )
     return whole.crossJoin(spread)  # one row by one row
+
+
+def satellite_trajectory(composite: DataFrame, *, rehab: bool = False, target: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(series with recovery, fitted times) of composites with ndvi.
+
+    Plain: cover of the whole site, anchored at its least and high mean.  ``rehab``: cover of the
+    pixels that were bare at first, anchored at their first mean and the last period's high pixels.
+    """
+    from ..operators import trajectory
+
+    if rehab:
+        series = trajectory.cover_series(composite, trajectory.cleared_footprint(composite))
+        anchors = trajectory.first_year_anchors(series, composite)
+    else:
+        series = trajectory.cover_series(composite)
+        anchors = trajectory.range_anchors(series)
+    told = trajectory.with_recovery(series, anchors)
+    return told, trajectory.recovery_time(told, target=target)
+
+
+def bridge(fine: DataFrame, satellite: DataFrame, scale: float, *, min_coverage: float = 0.5, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(cells, agreement): fine classes (r, c, cls) by coarse cell against satellite classes (cr, cc, cls).
+
+    Both sides are brought to the common scheme; ``keys`` of the satellite side separate reports.
+    """
+    from ..functions.classes import COMMON, collapse
+    from ..operators import metrics, resample
+
+    coarse = resample.majority(fine, scale, min_coverage=min_coverage).select("cr", "cc", F.col("cls").alias("fine_cls"), "purity", "coverage")
+    cells = coarse.join(satellite.select("cr", "cc", *keys, F.col("cls").alias("sat_cls")), ["cr", "cc"])
+    pairs = cells.select(*keys, collapse("fine_cls").alias("a"), collapse("sat_cls").alias("b"))
+    return cells, metrics.agreement(metrics.confusion(pairs, "a", "b", COMMON, keys), keys)
+
+
+def validate_cover(labels: DataFrame, cover: DataFrame, site: str = "site", keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """Kappa by site and pooled of own classes (cls) against land-cover codes (code) at the same pixels."""
+    from ..functions.classes import COVER_TO_COMMON, OWN_TO_COMMON, lookup
+    from ..operators import metrics
+
+    both = labels.select(site, *keys, lookup("cls", OWN_TO_COMMON, 0).alias("a")).join(cover.select(site, *keys, lookup("code", COVER_TO_COMMON, 0).alias("b")), [site, *keys])
+    return metrics.kappa(both, "a", "b", site)
+
+
+def training_tiles(labelled: DataFrame, height: int, width: int, tile: int, bands: tuple[str, ...], min_valid: float = 0.6, keys: tuple[str, ...] = ("site", "year")) -> DataFrame:
+    """Whole tiles with enough labelled pixels: keys, row, col, tile_id, image (bands x pixels), mask.
+
+    A tile is one group of tile x tile pixels, a fixed size.
+    """
+    from ..functions.classes import train_id
+    from ..functions.indices import reflectance
+
+    px = grid.fixed_tiles(labelled, tile, height, width, "y", "x")
+    at = (F.col("y") % tile * tile + F.col("x") % tile).alias("at")
+    cell = F.struct(at, train_id("cls").alias("target"), *[reflectance(b).cast("float").alias(b) for b in bands])
+    got = px.groupBy(*keys, "tile_row", "tile_col").agg((F.count_if(F.col("cls") != 0) / F.lit(tile * tile)).alias("valid"), F.array_sort(F.collect_list(cell)).alias("px"))
+    kept = got.filter((F.col("valid") >= min_valid) & (F.size("px") == tile * tile))
+    image = F.flatten(F.array(*[F.col(f"px.{b}") for b in bands]))
+    name = F.format_string("%s_%s_%03d_%03d", F.col(keys[0]).cast("string"), F.col(keys[-1]).cast("string"), "tile_row", "tile_col")
+    return kept.select(name.alias("tile_id"), *keys, F.col("tile_row").alias("row"), F.col("tile_col").alias("col"), image.alias("image"), F.col("px.target").alias("mask"), "valid")

@@ -76,6 +76,11 @@ def get_city(name: str, path: str | Path) -> City:
     return found[name.lower()]
 
 
+def load_data_sources(path: str | Path) -> dict:
+    """The layers a site draws on, as written."""
+    return _read(path)
+
+
 @cache
 def load_processing(path: str | Path = HERE / "processing.yaml") -> Processing:
     x = _read(path)
