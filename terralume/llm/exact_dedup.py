@@ -90,11 +90,15 @@ def groups(df: DataFrame) -> DataFrame:
     runs = scratch.put(_runs(rows).select("doc_id", "lead", "first", F.unhex("sha").alias("sha")))
     each = runs.groupBy("sha", "lead").agg(F.count(F.lit(1)).alias("n"))
     whole = each.groupBy("sha").agg(F.sum("n").alias("group_size"), _best().alias("best"))
-    joined = runs.join(whole, "sha")
+    # a text of one row needs no join
+    several = small_side(scratch.put(whole.filter("group_size > 1")), 120)
+    joined = runs.join(several, "sha", "left")
+    alone = F.col("group_size").isNull()
     wins = (F.col("lead.n_chars") == -F.col("best.len")) & F.col("lead.doc_id").eqNullSafe(F.col("best.id"))
     return joined.select(
-        "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("first") & wins).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("first") & wins)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+    )
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
