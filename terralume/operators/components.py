@@ -2,7 +2,7 @@
 
 Each round is two grouped joins; labels only shrink, a hub's edges are pre-aggregated by ``min``, and
 the number of rounds grows with the logarithm of the longest path.  Rounds are written to the
-checkpoint folder; the driver sees counts only.
+checkpoint folder, in as many files as their edges need; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
+#: Edges for each task of a round.
+TASK_EDGES = 250_000
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the smallest node of its component) for nodes of ``edges`` (a, b: long, non-null)."""
     pair = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.put(pair)
+    # rounds never add edges, so the first count sets the tasks of all
+    tasks = now.count() // TASK_EDGES + 1
     while True:
         # large star: every node sends its larger neighbours to its smallest one
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,8 +31,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = star.groupBy("u").agg(F.min("v").alias("m"))
         moved = star.join(least, "u")
         small = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = scratch.put(small.filter("u <> v").distinct())
-        # done when the edges are stars: nobody is both above and below
+        after = scratch.put(small.filter("u <> v").distinct().coalesce(tasks))
+        # done when the edges are stars: nobody is both above and below, and each has one above
         still = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         many = 0 if still else after.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
         scratch.drop(now)
