@@ -1,15 +1,17 @@
-"""Helpers shared by the corpus operators: table reads, scratch tables, size-checked broadcasts."""
+"""Helpers shared by the corpus operators: table reads, size-checked broadcasts, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
+__all__ = ["Scratch", "batch", "few_rows_a_batch", "map_batches", "partitions", "small_side", "table", "text_bytes"]
+
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,60 +33,6 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    present = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if present.isDefined():
-        return present.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    made = tempfile.mkdtemp(prefix="terralume-checkpoints-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-class Scratch:
-    """Tables written to the checkpoint folder: they cut lineage and outlive lost executors.
-
-    ``put`` writes a DataFrame and returns the table read back.  ``drop`` deletes one that no later
-    step reads.  Whatever is left goes when the Python process ends, since lazy results may read it.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{checkpoint_dir(spark).rstrip('/')}/terralume-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        atexit.register(self.close)
-
-    def put(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch_path = path
-        return out
-
-    def drop(self, *dfs: DataFrame) -> None:
-        for df in dfs:
-            self._delete(df._scratch_path)
-
-    def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the session has ended: its cluster clears the checkpoint folder
-            pass
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small_side(df: DataFrame, row_bytes: Column | int, cap: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast if its measured size is within ``cap``; else Spark shuffles the join.
 

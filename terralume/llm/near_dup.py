@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import Scratch, batch, map_batches, partitions, small_side, table, text_bytes
-from .components import components
 
 WORDS = 5
 LEAST = 0.8
@@ -320,8 +320,13 @@ def near_classes(df: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size (rows), n_links, shingles of each row."""
     scratch = Scratch(df.sparkSession)
     rows = scratch.put(_classed(df, scratch))
-    classes = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(classes, "class_key").select("doc_id", "class_id", "class_size", "n_links", "shingles")
+    # a class of one row needs no join
+    classes = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
+    joined = rows.join(small_side(scratch.put(classes), 32), "class_key", "left")
+    return joined.select(
+        "doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_links", "shingles",
+    )
 
 
 def links(df: DataFrame) -> DataFrame:
