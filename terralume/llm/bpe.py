@@ -10,8 +10,8 @@ Two ways to merge one word, after the same splitting:
   are skipped.  Counting emits no identifiers: tokens = initial symbols - merges.
 
 Both give the library's results: lowest rank first, leftmost on a tie.  A word's result depends on
-nothing but the word, so each task remembers it (``CACHE`` entries of at most ``CACHE_CHARS``
-characters, then it starts anew): memory is bounded and nothing is shared between tasks.
+nothing but the word and the vocabulary, so a Python worker remembers it across its tasks (``CACHE``
+entries of at most ``CACHE_CHARS`` characters, then it starts anew): memory is bounded.
 
 The vocabulary file's path is a parameter.  The driver reads it and sends its text (under 2 MB for
 50,000 tokens) to the executors, which need no file.
@@ -40,11 +40,14 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches, table
 
 SHORT = 48
-CACHE = 400_000
+CACHE = 250_000
 CACHE_CHARS = 64
 TOKEN_LIMIT = 512
 
 _NONE = 1 << 60
+_BITS = 24
+_PLACE = 40
+_PLACE_MASK = (1 << _PLACE) - 1
 
 
 @functools.cache
@@ -80,10 +83,11 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
         self.decoder = (spec.get("decoder") or {}).get("type")
-        self.pair: dict[tuple[int, int], int] = {}
+        #: Rank of a pair, under left << _BITS | right.
+        self.pair: dict[int, int] = {}
         self.made: list[int] = []
         for rank, (a, b) in enumerate(model["merges"]):
-            self.pair[self.vocab[a], self.vocab[b]] = rank
+            self.pair[self.vocab[a] << _BITS | self.vocab[b]] = rank
             self.made.append(self.vocab[a + b])
         symbols = byte_symbols()
         self.inner = [self.vocab.get(c, -1) for c in symbols]
@@ -144,43 +148,48 @@ class Bpe:
         return [x for x in out if x >= 0]
 
     def merge_short(self, ids: list[int]) -> list[int]:
-        pair, made = self.pair, self.made
-        ranks = [pair.get(p, _NONE) for p in zip(ids, ids[1:])]
+        rank_of, made = self.pair.get, self.made
+        ranks = [rank_of(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
             if low == _NONE:
                 break
             i = ranks.index(low)
-            ids[i] = made[low]
+            ids[i] = new = made[low]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pair.get((ids[i - 1], ids[i]), _NONE)
+                ranks[i - 1] = rank_of(ids[i - 1] << _BITS | new, _NONE)
             if i < len(ranks):
-                ranks[i] = pair.get((ids[i], ids[i + 1]), _NONE)
+                ranks[i] = rank_of(new << _BITS | ids[i + 1], _NONE)
         return ids
 
     def merge_heap(self, ids: list[int]) -> int:
-        """Merge in place over a linked list; a part that is merged away becomes -1.  Returns the merges."""
-        pair, made, n = self.pair, self.made, len(ids)
+        """Merge in place over a linked list; a part that is merged away becomes -1.  Returns the merges.
+
+        A heap entry is rank << _PLACE | place of the left part; it is stale if that part and the one
+        after it no longer have this rank, which belongs to one pair only.
+        """
+        rank_of, made, n = self.pair.get, self.made, len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, p) for i, p in enumerate(zip(ids, ids[1:])) if (r := pair.get(p)) is not None]
+        heap = [r << _PLACE | i for i in range(n - 1) if (r := rank_of(ids[i] << _BITS | ids[i + 1])) is not None]
         heapq.heapify(heap)
         merges = 0
         while heap:
-            rank, i, (a, b) = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            rank, i = entry >> _PLACE, entry & _PLACE_MASK
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if j >= n or ids[i] < 0 or rank_of(ids[i] << _BITS | ids[j]) != rank:
                 continue
-            ids[i], ids[j] = made[rank], -1
+            ids[i] = new = made[rank]
+            ids[j] = -1
             merges += 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := pair.get(p := (ids[i], ids[k]))) is not None:
-                    heapq.heappush(heap, (r, i, p))
-            if (h := before[i]) >= 0:
-                if (r := pair.get(p := (ids[h], ids[i]))) is not None:
-                    heapq.heappush(heap, (r, h, p))
+                if (r := rank_of(new << _BITS | ids[k])) is not None:
+                    heapq.heappush(heap, r << _PLACE | i)
+            if (h := before[i]) >= 0 and (r := rank_of(ids[h] << _BITS | new)) is not None:
+                heapq.heappush(heap, r << _PLACE | h)
         return merges
 
     def merge_long(self, ids: list[int]) -> list[int]:
@@ -280,6 +289,16 @@ class Counter:
         return total
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(spec_text: str) -> Encoder:
+    return Encoder(Bpe(spec_text))
+
+
+@functools.lru_cache(maxsize=2)
+def _counter(spec_text: str) -> Counter:
+    return Counter(Bpe(spec_text))
+
+
 def _sent(spark: SparkSession, path: str):
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
@@ -291,7 +310,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def make():
-        enc = Encoder(Bpe(spec.value))
+        enc = _encoder(spec.value)
 
         def fn(b):
             ids = [enc.encode(t) if t else b"" for t in b.column(1).to_pylist()]
@@ -311,7 +330,7 @@ def encode_digests(df: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def make():
-        enc = Encoder(Bpe(spec.value))
+        enc = _encoder(spec.value)
 
         def fn(b):
             ids = [enc.encode(t) if t else b"" for t in b.column(1).to_pylist()]
@@ -331,7 +350,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def make():
-        counter = Counter(Bpe(spec.value))
+        counter = _counter(spec.value)
 
         def fn(b):
             texts = [t or "" for t in b.column(1).to_pylist()]
