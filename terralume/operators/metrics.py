@@ -21,33 +21,36 @@ def dense(cm: DataFrame, ids: Sequence[int]) -> DataFrame:
     return full.join(cm, ["a_cls", "b_cls"], "left").select("a_cls", "b_cls", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def _sides(cm: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, cls, of_a, of_b, hit: both margins and the diagonal in one pass over the counts."""
+    same = F.when(F.col("a_cls") == F.col("b_cls"), F.col("n")).otherwise(F.lit(0))
+    side = lambda c, a, b, hit: F.struct(F.col(c).alias("cls"), a.alias("a"), b.alias("b"), hit.alias("hit"))
+    zero, n = F.lit(0).cast("long"), F.col("n").cast("long")
+    each = cm.select(*keys, F.explode(F.array(side("a_cls", n, zero, same.cast("long")), side("b_cls", zero, n, zero))).alias("s"))
+    return each.groupBy(*keys, F.col("s.cls").alias("cls")).agg(F.sum("s.a").alias("of_a"), F.sum("s.b").alias("of_b"), F.sum("s.hit").alias("hit"))
+
+
 def class_iou(cm: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, cls, hit, iou of each class seen on either side."""
-    side = lambda c: cm.groupBy(*keys, F.col(c).alias("cls"))
-    sides = side("a_cls").agg(F.sum("n").alias("t")).unionByName(side("b_cls").agg(F.sum("n").alias("t"))).groupBy(*keys, "cls").agg(F.sum("t").alias("both"))
-    hits = cm.filter("a_cls = b_cls").select(*keys, F.col("a_cls").alias("cls"), F.col("n").alias("hit"))
-    got = sides.join(hits, [*keys, "cls"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    return got.select(*keys, "cls", "hit", F.try_divide(F.col("hit").cast("double"), (F.col("both") - F.col("hit")).cast("double")).alias("iou"))
+    union = (F.col("of_a") + F.col("of_b") - F.col("hit")).cast("double")
+    return _sides(cm, keys).select(*keys, "cls", "hit", "of_a", F.try_divide(F.col("hit").cast("double"), union).alias("iou"))
 
 
 def agreement(cm: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, overall, mean_iou (classes absent from both sides left out), n."""
-    per = cm.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a_cls") == F.col("b_cls"), F.col("n")).otherwise(0)).alias("same"))
-    iou = class_iou(cm, keys).groupBy(*keys).agg(F.avg("iou").alias("mean_iou"))
-    joined = per.join(iou, list(keys)) if keys else per.crossJoin(iou)  # one row by one row
-    return joined.select(*keys, F.try_divide(F.col("same").cast("double"), F.col("n").cast("double")).alias("overall"), "mean_iou", "n")
+    got = class_iou(cm, keys).groupBy(*keys).agg(F.sum("hit").cast("double").alias("same"), F.avg("iou").alias("mean_iou"), F.sum("of_a").alias("n"))
+    return got.select(*keys, F.try_divide("same", F.col("n").cast("double")).alias("overall"), "mean_iou", "n")
 
 
 def kappa(pairs: DataFrame, a: str, b: str, site: str) -> DataFrame:
     """site (NULL: pooled over all pixels, not an average), kappa, overall, n; labels under 1 are ignored."""
     kept = pairs.filter((F.col(a) >= 1) & (F.col(b) >= 1)).select(F.col(site).alias("site"), F.col(a).alias("a_cls"), F.col(b).alias("b_cls"))
-    cm = kept.groupingSets([["site", "a_cls", "b_cls"], ["a_cls", "b_cls"]], "site", "a_cls", "b_cls").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    cm = cm.withColumn("site", F.coalesce("site", F.lit("*")))
-    side = lambda c, name: cm.groupBy("site", F.col(c).alias("cls")).agg(F.sum("n").alias(name))
-    chance = side("a_cls", "x").join(side("b_cls", "y"), ["site", "cls"]).groupBy("site").agg(F.sum(F.col("x") * F.col("y")).alias("e"))
-    whole = cm.groupBy("site").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a_cls") == F.col("b_cls"), F.col("n")).otherwise(0.0)).alias("same"))
-    got = whole.join(chance, "site", "left").withColumns({"po": F.col("same") / F.col("n"), "pe": F.coalesce("e", F.lit(0.0)) / (F.col("n") * F.col("n"))})
-    return got.select(F.nullif("site", F.lit("*")).alias("site"), F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")).alias("kappa"), F.col("po").alias("overall"), F.col("n").cast("long").alias("n"))
+    cm = kept.groupingSets([["site", "a_cls", "b_cls"], ["a_cls", "b_cls"]], "site", "a_cls", "b_cls").agg(F.count(F.lit(1)).alias("n"))
+    product = F.col("of_a").cast("double") * F.col("of_b").cast("double")
+    whole = _sides(cm, ["site"]).groupBy("site").agg(F.sum("of_a").alias("n"), F.sum("hit").cast("double").alias("same"), F.sum(product).alias("chance"))
+    size = F.col("n").cast("double")
+    got = whole.withColumns({"po": F.try_divide("same", size), "pe": F.try_divide("chance", size * size)})
+    return got.select("site", F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")).alias("kappa"), F.col("po").alias("overall"), "n")
 
 
 def share(mask: Column) -> Column:

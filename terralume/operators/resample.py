@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,8 +39,8 @@ def class_fractions(fine: DataFrame, scale: float, cls: str = "cls", dy: float =
     """cr, cc, class, frac: all classes in one pass; absent ones have no row; class 0 fills none."""
     cells = to_cells(fine, scale, dy, dx)
     each = cells.groupBy("cr", "cc", F.col(cls).alias("cls")).agg(F.sum("w").alias("part"))
-    total = cells.groupBy("cr", "cc").agg(F.sum("w").alias("whole"))
-    return each.join(total, ["cr", "cc"]).filter("cls <> 0").select("cr", "cc", "cls", (F.col("part") / F.col("whole")).alias("frac"))
+    whole = F.sum("part").over(Window.partitionBy("cr", "cc"))  # a cell has one row for each class
+    return each.withColumn("frac", F.col("part") / whole).filter("cls <> 0").select("cr", "cc", "cls", "frac")
 
 
 def binary_fraction(fine: DataFrame, mask: str, scale: float, dy: float = 0.0, dx: float = 0.0) -> DataFrame:

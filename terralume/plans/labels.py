@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classes, indices
 from ..operators import experiments, metrics, sampling, uncertainty
 from ..sources import config, rasters, sinks
+from ..sources.scratch import Scratch
 from . import pipelines
 from . import views as V
 from .views import r6
@@ -149,7 +150,8 @@ def augment_flip(spark, sf):
 def _train_pixels(spark, sf):
     lab = V.labelled(spark, sf).filter("ndvi IS NOT NULL")
     scaled = {b: indices.reflectance(b) for b in ("b03", "b04", "b08")}
-    return lab.withColumns(scaled).withColumns({"target": classes.train_id("cls"), "unit": F.concat_ws("_", "site", (F.col("y") / 6).cast("int"), (F.col("x") / 6).cast("int"))})
+    out = lab.withColumns(scaled).withColumns({"target": classes.train_id("cls"), "unit": F.concat_ws("_", "site", (F.col("y") / 6).cast("int"), (F.col("x") / 6).cast("int"))})
+    return Scratch(spark).put(out)  # read by every model
 
 
 _FEATURES, _IDS = ("b03", "b04", "b08"), (0, 1, 2, 3)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, indices
 from ..operators import metrics, temporal, trajectory
+from ..sources.scratch import Scratch
 from . import views as V
 from .views import r6
 
@@ -90,17 +91,17 @@ def time_collapse(spark, sf):
 
 
 def edge_periods(spark, sf):
-    lab = V.labelled(spark, sf)
+    lab = V.labelled_table(spark, sf)
     ends = temporal.edge_period(lab, ["site"]).withColumn("edge", F.lit("first")).unionByName(temporal.edge_period(lab, ["site"], last=True).withColumn("edge", F.lit("last")))
     return ends.groupBy("site", "edge").agg(F.max("year").alias("year"), F.count(F.lit(1)).alias("n"), r6(F.avg("ndvi")).alias("ndvi"))
 
 
 def cleared_footprint(spark, sf):
-    return trajectory.cleared_footprint(V.labelled(spark, sf))
+    return trajectory.cleared_footprint(V.labelled_table(spark, sf))
 
 
 def footprint_share(spark, sf):
-    lab = V.labelled(spark, sf)
+    lab = V.labelled_table(spark, sf)
     got = trajectory.mask_share(lab, trajectory.cleared_footprint(lab))
     return got.select("site", "n_pixels", r6(F.col("share")).alias("share"))
 
@@ -114,7 +115,7 @@ def cover_series(spark, sf):
 
 
 def cover_series_masked(spark, sf):
-    lab = V.labelled(spark, sf)
+    lab = V.labelled_table(spark, sf)
     return _series(trajectory.cover_series(lab, trajectory.cleared_footprint(lab)))
 
 
@@ -123,12 +124,12 @@ def _recovery(df):
 
 
 def recovery_q95(spark, sf):
-    s = trajectory.cover_series(V.labelled(spark, sf))
+    s = Scratch(spark).put(trajectory.cover_series(V.labelled(spark, sf)))  # a row for each site and year
     return _recovery(trajectory.with_recovery(s, trajectory.range_anchors(s)))
 
 
 def _first_year(spark, sf):
-    lab = V.labelled(spark, sf)
+    lab = V.labelled_table(spark, sf)
     s = trajectory.cover_series(lab, trajectory.cleared_footprint(lab))
     return trajectory.with_recovery(s, trajectory.first_year_anchors(s, lab))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.classes import spectral_label
 from ..functions.indices import exg, ndvi, ndwi
 from ..operators.temporal import cloud_masked, harmonised, period_median
+from ..sources.scratch import Scratch
 
 BANDS = ("b02", "b03", "b04", "b08")
 KEYS = ("site", "y", "x")
@@ -47,6 +48,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.withColumns({"cls": spectral_label(), "year": F.year("period_start")})
 
 
+def labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labelled``, written once: for queries that read it more than once."""
+    return Scratch(spark).put(labelled(spark, sf_dir))
+
+
 def chm_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense height grid, 50 pixels wide: r, c, h, dem, dsm, size, red, green, blue, exg."""
     t = read(spark, sf_dir, "part")
