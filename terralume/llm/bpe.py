@@ -10,8 +10,8 @@ Two ways to merge one word, after the same splitting:
   are skipped.  Counting emits no identifiers: tokens = initial symbols - merges.
 
 Both give the library's results: lowest rank first, leftmost on a tie.  A word's result depends on
-nothing but the word and the vocabulary, so a Python worker remembers it across its tasks (``CACHE``
-entries of at most ``CACHE_CHARS`` characters, then it starts anew): memory is bounded.
+nothing but the word and the vocabulary, so a Python worker remembers it across its tasks (two
+generations of ``CACHE`` entries of at most ``CACHE_CHARS`` characters): memory is bounded.
 
 The vocabulary file's path is a parameter.  The driver reads it and sends its text (under 2 MB for
 50,000 tokens) to the executors, which need no file.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches, table
 
 SHORT = 48
-CACHE = 250_000
+CACHE = 500_000
 CACHE_CHARS = 64
 TOKEN_LIMIT = 512
 
@@ -206,16 +206,21 @@ class Bpe:
 
 
 class _Memo(dict):
-    """Word -> result, made when missing; emptied when full."""
+    """Word -> result, made when missing.  When full, it becomes the old generation: words used since
+    the last change of generations are kept, the others go at the next one."""
 
     def __init__(self, make: Callable):
         super().__init__()
         self.make = make
+        self.old: dict = {}
 
     def __missing__(self, word):
-        got = self.make(word)
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[word] = got
         return got

@@ -58,7 +58,7 @@ def test_both_merges_agree():
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     memo = bpe._Memo(len)
-    assert [memo[w] for w in ("a", "bb", "ccc", "dddd", "x" * 100)] == [1, 2, 3, 4, 100] and len(memo) <= 3
+    assert [memo[w] for w in ("a", "bb", "ccc", "dddd", "x" * 100, "a")] == [1, 2, 3, 4, 100, 1] and len(memo) <= 3 and len(memo.old) <= 3
 
 
 def test_codec_frames(spark):
