@@ -52,7 +52,10 @@ _MULT = np.array([xxhash.xxh3_64_intdigest(b"minhash %d" % i) & 0xFFFFFFFF | 1 f
 
 
 class Shingler:
-    """Texts to sorted arrays of shingle hashes; remembers word hashes within a task."""
+    """Texts to sorted arrays of shingle hashes; remembers up to CACHE word hashes within a task.
+
+    A text with more distinct words than that is hashed word by word and leaves nothing behind.
+    """
 
     def __init__(self):
         self.words: dict[bytes, int] = {}
@@ -61,14 +64,18 @@ class Shingler:
         words = text.split()
         if not words:
             return np.empty(0, _U)
-        known = self.words
-        for w in set(words):
-            if w not in known:
-                if len(known) >= CACHE:
-                    known.clear()
-                    return self(text)
+        distinct = set(words)
+        if len(distinct) > CACHE:
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
+        else:
+            known = self.words
+            new = distinct.difference(known)
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = distinct
+            for w in new:
                 known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), _U, len(words))
+            h = np.fromiter(map(known.__getitem__, words), _U, len(words))
         n = max(1, len(h) - WORDS + 1)
         k = min(WORDS, len(h))
         acc = np.full(n, k, _U)

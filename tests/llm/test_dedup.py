@@ -135,6 +135,16 @@ def test_bayes_keeps_pairs_at_the_threshold():
     assert lost == 0
 
 
+def test_more_distinct_words_than_the_memo_holds(monkeypatch):
+    texts = [b"short and known", b" ".join(b"w%d" % (i % 60) for i in range(90)), b"short and known again", b"one two three four five six"]
+    want = [near_dup.Shingler()(t) for t in texts]
+    monkeypatch.setattr(near_dup, "CACHE", 8)
+    s = near_dup.Shingler()
+    for _ in range(2):
+        for t, w in zip(texts, want):
+            assert np.array_equal(s(t), w) and len(s.words) <= 8
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 900).astype(np.uint64)
