@@ -155,18 +155,23 @@ def _train_pixels(spark, sf):
 
 
 _FEATURES, _IDS = ("b03", "b04", "b08"), (0, 1, 2, 3)
+_FRACTIONS, _SEEDS, _SURE = (0.05, 0.1, 0.25, 1.0), (0, 1, 2), 0.8  # as in cli.py
 
 
 def transfer_matrix(spark, sf):
-    return experiments.transfer_matrix(_train_pixels(spark, sf), ("A", "N", "R"), _FEATURES, _IDS, seeds=(0,))
+    return experiments.transfer_matrix(_train_pixels(spark, sf), ("A", "N", "R"), _FEATURES, _IDS, _SEEDS)
 
 
 def label_efficiency(spark, sf):
-    return experiments.label_efficiency(_train_pixels(spark, sf), "unit", _FEATURES, _IDS, (0.25, 1.0), (0,))
+    return experiments.label_efficiency(_train_pixels(spark, sf), "unit", _FEATURES, _IDS, _FRACTIONS, _SEEDS)
 
 
 def self_training(spark, sf):
-    return experiments.self_training(_train_pixels(spark, sf), "unit", _FEATURES, _IDS, 0.25, 0.6)
+    px, got = _train_pixels(spark, sf), None
+    for f in _FRACTIONS:
+        one = experiments.self_training(px, "unit", _FEATURES, _IDS, f, _SURE)
+        got = one if got is None else got.unionByName(one)
+    return got
 
 
 def seed_summary(spark, sf):

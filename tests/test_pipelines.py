@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralume import cli
-from terralume.plans import pipelines, views
+from terralume.operators import experiments
+from terralume.plans import pipelines, registry, views
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -75,3 +76,18 @@ def test_entry_stands_without_the_corpus_part(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_protocol_queries_run_every_fraction_and_seed(spark, monkeypatch):
+    train, told = experiments.train, experiments.self_training
+    sure = []
+    monkeypatch.setattr(experiments, "train", lambda px, features: train(px, features, rounds=1))
+    monkeypatch.setattr(experiments, "self_training", lambda *a: sure.append(a[-1]) or told(*a))
+    q = registry.queries()
+    curve = q["label_efficiency"](spark, SF).collect()
+    assert sorted(r.fraction for r in curve) == [0.05, 0.1, 0.25, 1.0] and {len(r.miou_seeds) for r in curve} == {3}
+    assert max(r.miou_std for r in curve) > 0
+    matrix = q["transfer_matrix"](spark, SF).collect()
+    assert len(matrix) == 12 and {len(r.miou_seeds) for r in matrix} == {3}
+    rows = q["self_training"](spark, SF).collect()
+    assert sorted(r.fraction for r in rows) == [0.05, 0.1, 0.25, 1.0] and sure == [0.8] * 4
