@@ -210,9 +210,11 @@ def contrast_window(spark, sf):
 
 
 def heightmap(spark, sf):
-    """Sampled heights, clipped at the 99th percentile of the positive ones: pixels and summary."""
+    """Heights sampled in the window of most contrast, clipped at the 99th percentile of the positive ones: pixels and summary."""
     px = V.chm_px(spark, sf).select("r", "c", F.coalesce("h", F.lit(0.0)).alias("h"))
-    pts = grid.sample_points(px, 16, 40)
+    canopy = px.withColumn("v", F.when(F.col("h") >= 3, 1.0).otherwise(0.0))
+    at = grid.best_window(canopy, "v", 40, *V.dims(px), metric="stddev").first()  # one row
+    pts = grid.sample_points(px, 16, at["win"], at["y0"], at["x0"])
     top = pts.agg(F.coalesce(F.percentile(F.when(F.col("h") > 0, F.col("h")), F.lit(0.99)), F.lit(1.0)).alias("hi"))
     got = pts.crossJoin(F.broadcast(top))  # one row
     z = F.least(F.greatest("h", F.lit(0.0)), F.col("hi"))

@@ -153,3 +153,20 @@ def test_grids_and_windows(spark):
     assert (best.y0, best.x0, best.score) == (4, 2, 1.0)
     assert G.sample_points(df, 4, 10).count() == 16
     assert G.fixed_tiles(df, 4, 10, 10).count() == 64
+
+
+def test_heightmap_takes_the_window_of_most_contrast(spark, monkeypatch):
+    from terralume.plans import canopy
+
+    h = np.zeros((120, 50))
+    h[80:120, 30:50] = 9.0
+    df = spark.createDataFrame([(r, c, float(h[r, c])) for r in range(120) for c in range(50)], "r int, c int, h double")
+    monkeypatch.setattr(canopy.V, "chm_px", lambda *_: df)
+    spots = [(y, x) for y in range(0, 81, 10) for x in range(0, 11, 10)]
+    y0, x0 = max(spots, key=lambda s: (h[s[0] : s[0] + 40, s[1] : s[1] + 40] >= 3).std())
+    at = np.linspace(0, 39, 16).astype(int)
+    want = h[np.ix_(y0 + at, x0 + at)]
+    got = {(r.gy, r.gx): (r.z, r.canopy) for r in canopy.heightmap(spark, "").collect()}
+    assert (y0, x0) == (80, 10) and got == {(i, j): (want[i, j], bool(want[i, j] >= 3)) for i in range(16) for j in range(16)}
+    told = canopy.heightmap_summary(spark, "").first()
+    assert (told.zmin, told.zmax, told.canopy_fraction, told.n) == (0.0, 9.0, round(float((want >= 3).mean()), 2), 256)
