@@ -14,7 +14,7 @@ different values of one kind different ones:
 * ssn: ddd-dd-dddd with an issued area, group and serial; permuted among such numbers.
 * date: a real day in 1900 to 2099, as yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy; permuted
   among those days.
-* email, key (AKIA and 16 capitals or digits) and token (32 to 64 hex digits): no number, so a keyed
+* email, key (AKIA and 16 capitals or digits) and token (32 to 64 hex digits of one case): no number, so a keyed
   hash takes the place of the local part, the 16 characters or the digits, in the same length and
   alphabet (a local part becomes 16 letters; its domain stays).
 
@@ -54,7 +54,7 @@ FORMS = {
     "date": r"[0-9]{4}([-/])[0-9]{2}\2[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "card": r"[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{13,19}",
     "key": r"AKIA[A-Z0-9]{16}",
-    "token": r"[0-9a-f]{32,64}",
+    "token": r"[0-9a-f]{32,64}|[0-9A-F]{32,64}",
 }
 #: No letter, digit or joining mark may touch a value.  An email starts where a word does.
 _LEFT = r"(?<![A-Za-z0-9_@.+-])"
@@ -62,7 +62,7 @@ _RIGHT = r"(?![A-Za-z0-9_@])(?![.-][0-9])"
 #: In the order in which they are tried at a place.
 ANY = _LEFT + "(?:" + "|".join(f"(?:{FORMS[k]})" for k in FORMS) + ")" + _RIGHT
 #: A quick look whether a text can hold any: most cannot.
-HINT = r"[0-9]{3}|@|\+[0-9]|AKIA|[0-9]\.[0-9]|[0-9a-f]{32}"
+HINT = r"[0-9]{3}|@|\+[0-9]|AKIA|[0-9]\.[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
 
 
 def _whole(kind: str) -> str:
@@ -214,8 +214,10 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def _secret(m: Column, key: str) -> tuple[Column, Column]:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), m).cast("binary"), 256)
-    return F.lit(True), F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16)))).otherwise(F.substring(digest, F.lit(1), F.length(m)))
+    known = F.when(m.startswith("AKIA"), m).otherwise(F.lower(m))  # a token in either case stays linked
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), known).cast("binary"), 256)
+    token = F.substring(digest, F.lit(1), F.length(m))
+    return F.lit(True), F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16)))).otherwise(F.when(m.rlike("[A-F]"), F.upper(token)).otherwise(token))
 
 
 _RULES: dict[str, Callable] = {"email": _email, "phone": _phone, "abroad": _abroad, "iban": _iban, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card, "key": _secret, "token": _secret}
@@ -226,10 +228,10 @@ def _judged(m: Column, key: str) -> Column:
     kind = new = None
     for name, rule in _RULES.items():
         valid, other = rule(m, key)
-        fits = m.rlike(_whole(name))
+        holds = F.when(m.rlike(_whole(name)), valid)  # what looks like an IBAN and is none can be a token
         told = "phone" if name == "abroad" else name
-        kind = F.when(fits, F.when(valid, told)) if kind is None else kind.when(fits, F.when(valid, told))
-        new = F.when(fits, F.when(valid, other).otherwise(m)) if new is None else new.when(fits, F.when(valid, other).otherwise(m))
+        kind = F.when(holds, told) if kind is None else kind.when(holds, told)
+        new = F.when(holds, other) if new is None else new.when(holds, other)
     return F.struct(kind.alias("kind"), new.otherwise(m).alias("new"))
 
 

@@ -221,6 +221,18 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(frame(spark, [])).count() == 0
 
 
+def test_tokens_of_either_case(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    rows = [(1, f'TOKEN = "{low.upper()}"', "", "", 1), (2, f'TOKEN = "{low}"', "", "", 1), (3, "A" * 32 + " and " + "F" * 64, "", "", 1), (4, "A" * 31 + " " + "F" * 65, "", "", 1)]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, rows)).collect()}
+    assert {k: r.n_token for k, r in got.items()} == {1: 1, 2: 1, 3: 2, 4: 0} and got[4].text == rows[3][1]
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', got[1].text) and low.upper() not in got[1].text
+    assert got[1].text[9:49].lower() == got[2].text[9:49] != low
+    assert re.fullmatch("[0-9A-F]{32} and [0-9A-F]{64}", got[3].text)
+    like_iban = pii.pseudonymise(frame(spark, [(1, "AB12" + "CDEF3456" * 3 + "7890", "", "", 1)])).first()
+    assert (like_iban.n_token, like_iban.n_iban) == (1, 0)
+
+
 def unpermute(y, a, b, key, kind):
     """The Feistel rounds, backwards."""
     left, right = divmod(y, b)
