@@ -25,12 +25,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """``put`` writes a DataFrame and returns the table read back; ``drop`` deletes one that no later
-    step reads.  What is left goes when the Python process ends, since lazy results may read it."""
+    """``put`` writes a DataFrame and returns the table read back; ``drop`` deletes those that no later
+    step reads, ``keep`` all but those that one does.  What is left goes when the Python process ends, since lazy results may read it."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/terralume-{uuid.uuid4().hex}"
+        self.paths: set[str] = set()
         atexit.register(self.close)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -38,12 +39,21 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
+            self.paths.discard(df._scratch_path)
             self._delete(df._scratch_path)
 
+    def keep(self, *dfs: DataFrame) -> None:
+        """Delete every table but these."""
+        kept = {df._scratch_path for df in dfs}
+        for path in self.paths - kept:
+            self._delete(path)
+        self.paths = kept
+
     def close(self) -> None:
         try:
             self._delete(self.root)

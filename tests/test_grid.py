@@ -170,3 +170,32 @@ def test_heightmap_takes_the_window_of_most_contrast(spark, monkeypatch):
     assert (y0, x0) == (80, 10) and got == {(i, j): (want[i, j], bool(want[i, j] >= 3)) for i in range(16) for j in range(16)}
     told = canopy.heightmap_summary(spark, "").first()
     assert (told.zmin, told.zmax, told.canopy_fraction, told.n) == (0.0, 9.0, round(float((want >= 3).mean()), 2), 256)
+
+
+@pytest.mark.parametrize("held", [250_000, 7])
+def test_components_of_edges(spark, monkeypatch, held):
+    """A long path, a hub and random pairs, in one task and in distributed rounds."""
+    from terralume.operators import components as C
+    from terralume.sources.scratch import Scratch
+
+    monkeypatch.setattr(C, "TASK_EDGES", held)
+    rng = np.random.default_rng(8)
+    path = [(i, i + 1) for i in range(100, 160)]
+    hub = [(1000, 1000 + k) for k in range(1, 200)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(2000, 2060, (40, 2))]
+    edges = path + hub + loose + [(b, a) for a, b in path] + [(-5, -9), (7, 7)]
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = C.components(frame, Scratch(spark)).collect()
+    assert len(got) == len(up) and {r.node: r.root for r in got} == {x: top(x) for x in up}
+    assert C.components(frame.limit(0), Scratch(spark)).count() == 0
