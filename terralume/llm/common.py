@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
-__all__ = ["Scratch", "batch", "few_rows_a_batch", "map_batches", "partitions", "small_side", "table", "text_bytes"]
+__all__ = ["Scratch", "batch", "map_batches", "partitions", "small_side", "table", "text_bytes"]
 
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,25 +33,28 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
-def small_side(df: DataFrame, row_bytes: Column | int, cap: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast if its measured size is within ``cap``; else Spark shuffles the join.
+def small_side(df: DataFrame, row_bytes: Column | int, cap: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast if its measured size is within ``cap`` (``BROADCAST_BYTES``); else Spark
+    shuffles the join.
 
     ``df`` should be a scratch table: it is read once to add up ``row_bytes``.
     """
     size = F.count(F.lit(1)) * row_bytes if isinstance(row_bytes, int) else F.sum(row_bytes)
     total = df.agg(size.cast("long").alias("bytes")).first()["bytes"] or 0
-    return F.broadcast(df) if total <= cap else df
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if cap is None else cap) else df
 
 
-#: Rows of text that travel to Python at once.
+#: Rows, and bytes, that a batch function sees at once; Spark itself sends at most 64 MB.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
-def few_rows_a_batch(spark: SparkSession) -> None:
-    """Text rows are wide: unless the session says otherwise, Arrow batches hold ``BATCH_ROWS`` of them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, BATCH_ROWS)
+def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``; one row is never cut."""
+    parts = max(-(-b.num_rows // BATCH_ROWS), -(-b.nbytes // BATCH_BYTES))
+    step = max(1, -(-b.num_rows // max(1, parts)))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
@@ -59,11 +62,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for b in batches:
+            for piece in pieces(b):
+                yield fn(piece)
 
-    few_rows_a_batch(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -5,21 +5,28 @@
 2. ``HASHES`` MinHash values are taken of each set.  Candidates share a band of ``ROWS`` values; a
    pair at the threshold shares none of the ``BANDS`` bands with probability 5e-6, the only place
    where a link could be lost before the Bayesian rule.  Band keys held by one set are dropped after
-   a count; the rest give links to the smallest holder, not all pairs, and components of those links
-   are the units of work.
-3. Bayesian pruning.  Inside a unit, pairs compare MinHash values ``STEP`` at a time.  With m of n
+   a count; the rest link to the smallest holder, and components of those links are *units*: no pair
+   with a common band lies in two of them.
+3. Each unit is dealt to jobs in the cheaper of two exact ways, counted beforehand.  Either all its
+   pairs meet: its rows are hashed into blocks of about ``BLOCK`` rows and ``BLOCK_BYTES``, every two
+   blocks are a job, and a row is copied once for each block.  Or only pairs that share a band meet:
+   a row is copied once for each of its shared bands (``BANDS`` at most) and block of that band, and a
+   pair counts in its first common band alone.  So a unit of similar texts costs what its links cost,
+   and a long chain of texts that are linked by bands but not alike stays linear in its rows.
+4. Bayesian pruning.  Inside a job, pairs compare MinHash values ``STEP`` at a time.  With m of n
    equal and a uniform prior, the posterior probability of similarity >= LEAST is a binomial sum;
    pairs for which it falls below ``TOLERANCE`` are dropped.
-4. Pairs left are verified exactly on the shingle sets.
+5. Pairs left are verified exactly on the shingle sets.
 
-A unit of n representatives is dealt by hash into blocks of about ``BLOCK``; each pair of blocks is one
-small job, so no task holds a whole unit, however large.  A job returns counts of links and a spanning
-forest, never the pairs; pairs can be asked for (``links``).
+A job returns counts of links and a spanning forest, never the pairs; pairs can be asked for
+(``links``).  Its memory is two blocks, whatever the unit's size.
 
 Defined results: words are runs of anything but ASCII white space; a text of 1 to 4 words has one
 shingle, all of them; texts without words (null, empty) have the empty set and form one class, with
 no links to others; rows that repeat a doc_id are rows of their own; ``n_links`` counts other
-representatives, not copies.
+representatives, not copies; a very long text is one row of its block; ties go to the smallest
+doc_id (null last), then the smallest hash of the text; other columns, whatever their names, are
+returned untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,39 +50,41 @@ BANDS = 40
 HASHES = ROWS * BANDS
 STEP = 24
 TOLERANCE = 1e-6
-BLOCK = 128
-CACHE = 400_000
+#: Rows, and bytes of signatures and sets, of a block.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
+#: Word hashes that a task remembers, of words of at most CACHE_BYTES.
+CACHE = 200_000
+CACHE_BYTES = 64
 
 _U = np.uint64
 #: Odd multipliers: each permutes the 32-bit values.
 _MULT = np.array([xxhash.xxh3_64_intdigest(b"minhash %d" % i) & 0xFFFFFFFF | 1 for i in range(HASHES)], np.uint32)
 
 
-class Shingler:
-    """Texts to sorted arrays of shingle hashes; remembers up to CACHE word hashes within a task.
+class _Hashes(dict):
+    """Hash of each word; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
+        return h
 
-    A text with more distinct words than that is hashed word by word and leaves nothing behind.
-    """
+
+class Shingler:
+    """Texts to sorted arrays of shingle hashes; memory is bounded by the text and the memo."""
 
     def __init__(self):
-        self.words: dict[bytes, int] = {}
+        self.words = _Hashes()
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.split()
         if not words:
             return np.empty(0, _U)
-        distinct = set(words)
-        if len(distinct) > CACHE:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
-        else:
-            known = self.words
-            new = distinct.difference(known)
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = distinct
-            for w in new:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, words), _U, len(words))
+        h = np.fromiter(map(self.words.__getitem__, words), _U, len(words))
         n = max(1, len(h) - WORDS + 1)
         k = min(WORDS, len(h))
         acc = np.full(n, k, _U)
@@ -191,20 +200,24 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("doc_id", "text_hash", "text"), make, "doc_id long, text_hash long, uid long, shingles long, bands array<long>")
 
 
+_PLACES = "array<struct<grp:bigint,own:int,blocks:int>>"
+
+
 def _loaded(rows: DataFrame) -> DataFrame:
-    """``rows`` (uid, root, blocks, text) with signature and set in the text's place."""
-    schema = pa.schema([("uid", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32()), ("sig", pa.binary()), ("set", pa.binary())])
+    """``rows`` (uid, places, text) with signature and set in the text's place."""
+    place = pa.struct([("grp", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32())])
+    schema = pa.schema([("uid", pa.int64()), ("places", pa.list_(place)), ("sig", pa.binary()), ("set", pa.binary())])
 
     def make():
         shingler = Shingler()
 
         def fn(b):
-            sets = [shingler(t) for t in b.column(3).to_pylist()]
-            return batch(schema, [b.column(0), b.column(1), b.column(2), [x.tobytes() for x in minhash(sets)], [s.tobytes() for s in sets]])
+            sets = [shingler(t) for t in b.column(2).to_pylist()]
+            return batch(schema, [b.column(0), b.column(1).cast(schema.field(1).type), [x.tobytes() for x in minhash(sets)], [s.tobytes() for s in sets]])
 
         return fn
 
-    return map_batches(rows, make, "uid long, root long, blocks int, sig binary, set binary")
+    return map_batches(rows, make, f"uid long, places {_PLACES}, sig binary, set binary")
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -228,9 +241,20 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
+def _first_met(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose first common band is ``own``."""
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), 50_000):
+        s = slice(at, at + 50_000)
+        upto = ROWS * (own + 1)
+        same = (a[i[s], :upto] == b[j[s], :upto]).reshape(-1, own + 1, ROWS).all(2)
+        keep[s] = same[:, own] & ~same[:, :own].any(1)
+    return i[keep], j[keep]
+
+
 def _job(rows: dict[str, list], all_pairs: bool) -> list[tuple]:
     """One pair of blocks: (a, b, 0) for forest edges or pairs, (a, null, n) for counts of links."""
-    bi, bj = rows["bi"][0], rows["bj"][0]
+    bi, bj, own = rows["bi"][0], rows["bj"][0], rows["own"][0]
     blocks = rows["block"]
     once = {u: k for k, u in enumerate(rows["uid"])}.values()  # rows that repeat a text are one
     left = [k for k in once if blocks[k] == bi]
@@ -240,6 +264,8 @@ def _job(rows: dict[str, list], all_pairs: bool) -> list[tuple]:
     load = lambda ks, c, t: [np.frombuffer(rows[c][k], t) for k in ks]
     sig_a, sig_b = np.stack(load(left, "sig", np.uint32)), np.stack(load(right, "sig", np.uint32))
     i, j = bayes_pairs(sig_a, sig_b, bi == bj)
+    if own >= 0:
+        i, j = _first_met(sig_a, sig_b, i, j, own)
     ok = exact_pairs(load(left, "set", _U), load(right, "set", _U), i, j)
     i, j = i[ok], j[ok]
     if not len(i):
@@ -254,7 +280,7 @@ def _job(rows: dict[str, list], all_pairs: bool) -> list[tuple]:
 
 
 def _jobs(all_pairs: bool):
-    keys = ("root", "bi", "bj")
+    keys = ("grp", "own", "bi", "bj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] | None = None
@@ -285,6 +311,36 @@ def _pick() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
 
 
+def _blocks() -> Column:
+    """Blocks for rows with ``shingles``, as an aggregate."""
+    size = F.sum(F.col("shingles") * 8 + 4 * HASHES)
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def _places(sketch: DataFrame, shared: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
+    """uid, pick_id, text_hash (the row that stands for the set) and its places in jobs."""
+    picks = sketch.groupBy("uid").agg(_pick().alias("pick"), F.max("shingles").alias("shingles"))
+    picks = picks.join(units, picks.uid == units.node).select("uid", "root", "shingles", F.col("pick.doc_id").alias("pick_id"), F.col("pick.text_hash").alias("text_hash"))
+    picks = scratch.put(picks)
+    large = scratch.put(picks.groupBy("root").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("n")).filter("blocks > 1"))
+    whole = picks.join(small_side(large, 24), "root", "left")
+    plain = lambda df: df.select("uid", "pick_id", "text_hash", F.array(F.struct(F.col("root").alias("grp"), F.lit(-1).alias("own"), F.coalesce("blocks", F.lit(1)).alias("blocks"))).cast(_PLACES).alias("places"))
+    if large.isEmpty():
+        return plain(whole)
+    # rows of large units once for each shared band
+    of_large = small_side(scratch.put(whole.filter("blocks IS NOT NULL").select("uid", "root", "shingles", "pick_id", "text_hash")), 48)
+    same = (sketch.uid == of_large.uid) & (sketch.text_hash == of_large.text_hash) & sketch.doc_id.eqNullSafe(of_large.pick_id)
+    held = sketch.join(of_large, same).select(sketch.uid, "root", sketch.shingles, F.posexplode("bands").alias("own", "band")).distinct()
+    held = scratch.put(held.join(shared.select("band"), "band"))
+    band = scratch.put(held.groupBy("root", "band").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("n")))
+    copies = band.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("copies")).join(large, "root")
+    by_band = small_side(scratch.put(copies.filter(F.col("copies") < F.col("n") * F.col("blocks")).select("root")), 16)
+    placed = held.join(by_band, "root", "left_semi").join(small_side(band.filter("n > 1").select("band", "blocks"), 24), "band")
+    placed = placed.groupBy("uid").agg(F.collect_list(F.struct(F.col("band").alias("grp"), "own", "blocks")).cast(_PLACES).alias("places"))
+    banded = picks.join(by_band, "root", "left_semi").join(placed, "uid").select("uid", "pick_id", "text_hash", "places")
+    return plain(whole.join(by_band, "root", "left_anti")).unionByName(banded)
+
+
 def _found(rows: DataFrame, sketch: DataFrame, scratch: Scratch, all_pairs: bool) -> DataFrame:
     """What the jobs return: links between representatives that may be similar."""
     n = partitions(rows.sparkSession)
@@ -292,17 +348,15 @@ def _found(rows: DataFrame, sketch: DataFrame, scratch: Scratch, all_pairs: bool
     shared = held.groupBy("band").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).filter("low <> high").select("band", "low")
     shared = small_side(scratch.put(shared), 24)
     near = held.join(shared, "band").filter("uid <> low").select(F.col("uid").alias("a"), F.col("low").alias("b"))
-    units = components(near, scratch)
-    size = units.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    units = units.join(size, "root").select(F.col("node").alias("uid"), "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    picks = sketch.select("uid", "doc_id", "text_hash").join(units, "uid").groupBy("uid", "root", "blocks").agg(_pick().alias("pick"))
-    picks = scratch.put(picks.select("uid", "root", "blocks", F.col("pick.doc_id").alias("pick_id"), F.col("pick.text_hash").alias("text_hash")))
-    texts = rows.join(small_side(picks, 48), "text_hash").filter(F.col("doc_id").eqNullSafe(F.col("pick_id")))
-    loaded = _loaded(texts.select("uid", "root", "blocks", "text"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = loaded.select("root", "uid", "sig", "set", F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int").alias("block"), other)
-    dealt = dealt.select("root", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "uid", "sig", "set")
-    dealt = dealt.repartition(n, "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    places = scratch.put(_places(sketch, shared, components(near, scratch), scratch))
+    picked = small_side(places, F.size("places") * 24 + 48).withColumnRenamed("text_hash", "pick_hash")
+    texts = rows.join(picked, (rows.text_hash == picked.pick_hash) & rows.doc_id.eqNullSafe(picked.pick_id))
+    loaded = _loaded(texts.select("uid", "places", "text"))
+    dealt = loaded.select("uid", "sig", "set", F.explode("places").alias("at"))
+    other = F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)).alias("other")
+    dealt = dealt.select("at.grp", "at.own", "uid", "sig", "set", F.pmod(F.xxhash64("uid"), F.col("at.blocks").cast("long")).cast("int").alias("block"), other)
+    dealt = dealt.select("grp", "own", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "uid", "sig", "set")
+    dealt = dealt.repartition(n, "grp", "own", "bi", "bj").sortWithinPartitions("grp", "own", "bi", "bj")
     return scratch.put(dealt.mapInArrow(_jobs(all_pairs), "a long, b long, links long"))
 
 
@@ -319,6 +373,7 @@ def _classed(df: DataFrame, scratch: Scratch) -> DataFrame:
     classes = components(found.filter("b IS NOT NULL").select("a", "b"), scratch)
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("n_links"))
     known = scratch.put(classes.join(counts, classes.node == counts.a).select(F.col("node").alias("uid"), F.col("root").alias("class_key"), "n_links"))
+    scratch.keep(sketch, known)
     joined = sketch.drop("bands").join(small_side(known, 32), "uid", "left")
     return joined.select("doc_id", "text_hash", "uid", "shingles", F.coalesce("class_key", "uid").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -327,6 +382,7 @@ def near_classes(df: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size (rows), n_links, shingles of each row."""
     scratch = Scratch(df.sparkSession)
     rows = scratch.put(_classed(df, scratch))
+    scratch.keep(rows)
     # a class of one row needs no join
     classes = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
     joined = rows.join(small_side(scratch.put(classes), 32), "class_key", "left")
@@ -356,6 +412,7 @@ def drop_near(df: DataFrame) -> DataFrame:
     scratch = Scratch(df.sparkSession)
     rows = _classed(df, scratch).groupBy("class_key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     rows = scratch.put(rows)
+    scratch.keep(rows)
     best = rows.groupBy("class_key").agg(_pick().alias("pick"), F.count(F.lit(1)).alias("kinds"))
     joined = rows.join(best.filter("kinds > 1"), "class_key")
     stays = F.col("doc_id").eqNullSafe(F.col("pick.doc_id")) & (F.col("text_hash") == F.col("pick.text_hash"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, few_rows_a_batch, map_batches, table, text_bytes
+from .common import batch, map_batches, pieces, table, text_bytes
 
 #: Production parameters.
 BASE_WINDOW = 5
@@ -196,12 +196,11 @@ def keep_good(df: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int =
     """The rows of ``df`` whose text the rules keep, with all their columns; no shuffle."""
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in pieces(whole):
                 texts = [x.encode() if x is not None else b"" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
                 yield b.filter(pa.array(judge(measure(texts), max_covered, max_repeat)[1]))
 
-    few_rows_a_batch(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
