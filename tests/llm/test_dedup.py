@@ -193,3 +193,42 @@ def test_repeats_empty_and_whole_texts(spark):
     assert substring_dedup.strip_repeats(frame(spark, [])).count() == 0
     kept = substring_dedup.strip_repeats(frame(spark, [(1, "a" * 199, "", "", 1), (2, "a" * 199, "", "", 1), (3, "b" * 201, "", "", 1)])).orderBy("doc_id").collect()
     assert [bytes(r.kept) for r in kept] == [b"a" * 199, b"a" * 199, b""]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_exact_copies_behind_space_and_shared_beginnings(spark, parts):
+    start = "the same beginning " * 53
+    rows = [(i, f"{' ' * 150}{start}{i % 40}" if i % 3 == 0 else f"{start}{i % 40}\n", "", "", 1) for i in range(300)]
+    rows += [(1000 + i, f"filler {i}", "", "", 1) for i in range(400)]
+    rows += [(9007, " " * 200 + "one text twice with one id", "", "", 1), (9007, "one text twice with one id" + " " * 200, "", "", 1)]
+    rows += [(2000 + i, "hot copy", "", "", 1) for i in range(500)] + [(None, "hot copy", "", "", 1)] * 3
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+        got = exact_dedup.groups(df).collect()
+        assert ordered(got) == ordered(by_hand_groups(rows))
+        kept = exact_dedup.drop_copies(df).collect()
+        assert ordered((r.doc_id, bare(r.text)) for r in kept) == ordered((d, bare(next(t for e, t, *_ in rows if e == d))) for d, _, _, k, _ in by_hand_groups(rows) if k)
+        assert sum(bare(r.text) == "onetexttwicewithoneid" for r in kept) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_exact_order_of_ranges_is_the_order_of_texts(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        df = frame(spark).select("doc_id", "text").union(spark.range(600).selectExpr("id + 5000", "concat('  same start ', id % 200)"))
+        ends = defaultdict(list)
+        for r in exact_dedup._runs(df).select("part", "shared", "norm").collect():
+            if not r.shared:
+                ends[r.part].append(r.norm.encode())
+        spans = sorted((min(v), max(v)) for v in ends.values())
+        assert len(spans) > 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        assert [min(ends[k]) for k in sorted(ends)] == [s[0] for s in spans]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_exact_is_native(spark):
+    for out in (exact_dedup.groups(frame(spark)), exact_dedup.drop_copies(frame(spark))):
+        assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
