@@ -5,11 +5,11 @@ import hashlib
 import numpy as np
 
 import corpus_pipeline as P
-from terralume.llm import bpe, mixing, queries
+from terralume.llm import bpe, queries
 
 from .fixtures import corpus, frame, ordered
 from .test_dedup import bare, by_hand_classes
-from .test_text import by_hand_repeats, by_hand_targets, libraries
+from .test_text import by_hand_copies, by_hand_repeats, libraries
 
 
 def by_hand(rows):
@@ -23,15 +23,13 @@ def by_hand(rows):
     _, classes = by_hand_classes(rows)
     keep = {min((x for x in m if x is not None), default=None) for m in classes.values()}
     rows = [r for r in rows if r[0] in keep]
-    size, target = by_hand_targets(rows)
+    copies = by_hand_copies(rows)
     lib, _ = libraries()
     out = []
     for d, t, _, s, _ in rows:
-        rate = target[s] / size[s] if size[s] else 0
-        chance = int(hashlib.md5(f"{mixing.SEED}:{'' if d is None else d}".encode()).hexdigest()[:13], 16) / 2**52
         ids = lib.encode(t or "", add_special_tokens=False).ids
         row = (d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
-        out += [row] * (int(rate) + (chance < rate - int(rate)))
+        out += [row] * copies[s][d]
     return out
 
 

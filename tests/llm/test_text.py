@@ -145,6 +145,23 @@ def by_hand_targets(rows):
         full |= over
 
 
+def by_hand_copies(rows):
+    """source -> doc_id -> copies, by the seed whose words are nearest to the source's target."""
+    size, target = by_hand_targets(rows)
+    out = {}
+    for s in size:
+        rate = target[s] / size[s] if size[s] else 0.0
+        docs = [(d, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, _, z, _ in rows if z == s]
+
+        def draw(seed):
+            hexes = {d: hashlib.md5(f"{mixing.SEED}{seed // 2}:{'' if d is None else d}".encode()).hexdigest()[13 * (seed % 2) :][:13] for d, _ in docs}
+            return {d: int(rate) + (int(h, 16) / 2**52 < rate - int(rate)) for d, h in hexes.items()}
+
+        draws = [draw(k) for k in range(mixing.SEEDS)]
+        out[s] = min(draws, key=lambda got: abs(sum(got[d] * n for d, n in docs) - target[s]))  # noqa: B023
+    return out
+
+
 def test_mixing(spark):
     rows = corpus() + [(1000 + i, "some more words to fill this source up", "en", f"src{5 + i % 3}", 1) for i in range(900)]
     size, target = by_hand_targets(rows)
@@ -161,7 +178,10 @@ def test_mixing(spark):
         assert r.taken in {int(rate) * r.size, (int(rate) + 1) * r.size} and r.taken <= 2 * r.size
         taken[s] += r.taken
     for s in ("src5", "src6", "src7"):
-        assert taken[s] == pytest.approx(target[s], rel=0.2)
+        assert taken[s] == pytest.approx(target[s], rel=0.02)
+    hand = by_hand_copies(rows)
+    words = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, *_ in rows if d is not None}
+    assert {(r.doc_id, r.taken) for r in got if r.doc_id is not None} == {(d, hand[source[d]][d] * n) for d, n in words.items()}
     assert ordered(got) == ordered(mixing.amounts(frame(spark, rows[::-1])).collect())
     mixed = mixing.mix(frame(spark, rows, clash=True))
     assert mixed.columns == frame(spark, rows, clash=True).columns
