@@ -4,17 +4,19 @@ One pattern finds the candidates in a whole text; each is validated and, if it h
 keyed permutation of its own format, so equal values get equal pseudonyms in every document and
 different values of one kind different ones:
 
-* card: 13 to 19 digits, plain or in groups of four, with a right check digit.  The digits before it
-  are permuted and a new check digit is put.
-* phone: ten digits in groups, with or without +1 before them; the ten digits are permuted, so both
-  ways of writing a number stay linked.  Other numbers with + and 8 to 15 digits keep the first two.
+* card: 13 to 19 digits, plain, in groups of four or as 4-6-5, with a right check digit.  The digits
+  before it are permuted and a new check digit is put.
+* phone: ten digits in groups that the North American plan allows (area and exchange from 200 on, none
+  ending in 11), permuted among such numbers, so a number stays linked with and without +1.  After an
+  explicit +1 other ten digits count too: what the plan forbids stays (the area, or area and exchange)
+  and the rest is permuted.  Other numbers with + and 8 to 15 digits keep the first two.
 * iban: two capitals, two check digits that hold (mod 97) and 11 to 30 digits or capitals, plain or in
   groups of four.  Its digits (the last 18 of more) are permuted and new check digits are put.
 * ip: four numbers to 255.  The 32 bits are permuted.
 * ssn: ddd-dd-dddd with an issued area, group and serial; permuted among such numbers.
 * date: a real day in 1900 to 2099, as yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy; permuted
   among those days.
-* email, key (AKIA and 16 capitals or digits) and token (32 to 64 hex digits of one case): no number, so a keyed
+* email, key (AKIA and 16 capitals or digits) and token (32 to 64 hex digits): no number, so a keyed
   hash takes the place of the local part, the 16 characters or the digits, in the same length and
   alphabet (a local part becomes 16 letters; its domain stays).
 
@@ -22,11 +24,13 @@ The permutation is a Feistel network of ``ROUNDS`` rounds on Z_a x Z_b (a x b th
 format): in turn, the left or right half is increased by a keyed hash of the other, modulo its size.
 It is a bijection and can be undone with the key (``restore`` in the tests).
 
-Everything is row-local: no shuffle, no driver data.  The key is a parameter; the default serves
-tests only.
+Everything is row-local: no shuffle, no driver data.  The key is the caller's; the registered query has
+one for tests only.
 
-Defined results: a null text stays null and finds nothing; candidates that fail their check stay as
-they are; text around the values stays byte for byte.
+Defined results: a null text stays null and finds nothing; an empty one stays empty; a very long text is
+searched whole; repeated rows are treated alike; candidates that fail their check stay as they are; text
+around the values stays byte for byte; an empty table gives an empty result; other columns, whatever
+their names, are ignored.  Left alone: IPv6 addresses, nine digits without hyphens, dates in other forms.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KEY = "terralume-development-key"
+#: Of the registered query; callers bring their own.
+QUERY_KEY = "terralume-development-key"
 ROUNDS = 8
 DAYS = 73049  # 1900-01-01 .. 2099-12-31
 KINDS = ("email", "phone", "card", "iban", "ip", "ssn", "date", "key", "token")
@@ -52,21 +57,33 @@ FORMS = {
     "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": r"[0-9]{4}([-/])[0-9]{2}\2[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
-    "card": r"[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{13,19}",
+    "card": r"[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5}|[0-9]{13,19}",
     "key": r"AKIA[A-Z0-9]{16}",
-    "token": r"[0-9a-f]{32,64}|[0-9A-F]{32,64}",
+    "token": r"[0-9a-fA-F]{32,64}",
 }
 #: No letter, digit or joining mark may touch a value.  An email starts where a word does.
 _LEFT = r"(?<![A-Za-z0-9_@.+-])"
 _RIGHT = r"(?![A-Za-z0-9_@])(?![.-][0-9])"
 #: In the order in which they are tried at a place.
 ANY = _LEFT + "(?:" + "|".join(f"(?:{FORMS[k]})" for k in FORMS) + ")" + _RIGHT
-#: A quick look whether a text can hold any: most cannot.
-HINT = r"[0-9]{3}|@|\+[0-9]|AKIA|[0-9]\.[0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
+#: What every value of a kind has in it; a text without any of these holds none, and most hold none.
+NEEDS = {
+    "email": "@",
+    "phone": "[0-9]{3}",
+    "abroad": r"\+[0-9]",
+    "iban": "[A-Z]{2}[0-9]{2}",
+    "ip": r"[0-9]\.[0-9]",
+    "ssn": "[0-9]{3}",
+    "date": r"[0-9]{4}",
+    "card": "[0-9]{4}",
+    "key": "AKIA",
+    "token": "[0-9a-fA-F]{32}",
+}
+HINT = "|".join(dict.fromkeys(NEEDS.values()))
 
 
 def _whole(kind: str) -> str:
-    return "^(?:" + FORMS[kind].replace(r"\2", r"\1").replace(r"\3", r"\1") + ")$"
+    return "^(?:" + FORMS[kind].replace(r"\2", r"\1").replace(r"\3", r"\1").replace(r"\4", r"\2") + ")$"
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -74,11 +91,12 @@ def _hash(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), *parts).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def permute(x: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def permute(x: Column, a: Column, b: Column, key: str, kind: str | Column) -> Column:
     """x in 0 .. a*b - 1 to its image: Feistel rounds on (x div b, x mod b)."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def step(acc: Column, i: Column) -> Column:
-        tag = F.concat(F.lit(f"{kind}:"), i.cast("string"))
+        tag = F.concat(kind, F.lit(":"), i.cast("string"))
         left = (acc.l + _hash(key, tag, acc.r.cast("string"))) % acc.a
         right = (acc.r + _hash(key, tag, acc.l.cast("string"))) % acc.b
         even = i % 2 == 0
@@ -135,8 +153,27 @@ def _card(m: Column, key: str) -> tuple[Column, Column]:
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
     d = _digits(m)
-    new = permute(F.right(d, F.lit(10)).cast("long"), F.lit(10**5), F.lit(10**5), key, "phone")
-    return F.lit(True), _fill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _padded(new, 10)))
+    ten = F.right(d, F.lit(10))
+    area, exchange, line = F.substring(ten, 1, 3), F.substring(ten, 4, 3), F.substring(ten, 7, 4)
+    plan = "^[2-9](?!11)[0-9]{2}$"  # 8 x 99 codes
+    fine_area, fine = area.rlike(plan), area.rlike(plan) & exchange.rlike(plan)
+
+    def rank(code: Column) -> Column:
+        rest = code.cast("long") % 100
+        return (F.substring(code, 1, 1).cast("long") - 2) * 99 + rest - (rest > 11).cast("long")
+
+    def code(place: Column) -> Column:
+        rest = place % 99
+        return F.concat((((place - rest) / 99).cast("long") + 2).cast("string"), _padded(rest + (rest >= 11).cast("long"), 2))
+
+    y = permute((rank(area) * 792 + rank(exchange)) * 10**4 + line.cast("long"), F.lit(792 * 792), F.lit(10**4), key, "phone")
+    codes = ((y - y % 10**4) / 10**4).cast("long")
+    among = F.concat(code(((codes - codes % 792) / 792).cast("long")), code(codes % 792), _padded(y % 10**4, 4))
+    seven = permute(F.substring(ten, 4, 7).cast("long"), F.lit(10**4), F.lit(10**3), key, F.concat(F.lit("phone-"), area))
+    four = permute(line.cast("long"), F.lit(100), F.lit(100), key, F.concat(F.lit("phone-"), area, exchange))
+    new = F.when(fine, among).when(fine_area, F.concat(area, exchange, _padded(four, 4))).otherwise(F.concat(area, _padded(seven, 7)))
+    valid = fine | m.startswith("+1")
+    return valid, F.when(valid, _fill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new)))
 
 
 def _long_number(d: Column, key: str, kind: str) -> Column:
@@ -217,7 +254,7 @@ def _secret(m: Column, key: str) -> tuple[Column, Column]:
     known = F.when(m.startswith("AKIA"), m).otherwise(F.lower(m))  # a token in either case stays linked
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), known).cast("binary"), 256)
     token = F.substring(digest, F.lit(1), F.length(m))
-    return F.lit(True), F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16)))).otherwise(F.when(m.rlike("[A-F]"), F.upper(token)).otherwise(token))
+    return F.lit(True), F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16)))).otherwise(F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(token)).otherwise(token))
 
 
 _RULES: dict[str, Callable] = {"email": _email, "phone": _phone, "abroad": _abroad, "iban": _iban, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card, "key": _secret, "token": _secret}
@@ -235,7 +272,7 @@ def _judged(m: Column, key: str) -> Column:
     return F.struct(kind.alias("kind"), new.otherwise(m).alias("new"))
 
 
-def pseudonymise(df: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str) -> DataFrame:
     """doc_id, the text with pseudonyms, n_pii and one count for each kind, for each row."""
     text = F.col("text").cast("string")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -256,4 +293,4 @@ def pseudonymise(df: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), QUERY_KEY)
