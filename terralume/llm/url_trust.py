@@ -6,12 +6,15 @@ trust from hosts with allowed pages along links, and distrust from hosts with bl
 them; a host is blocked if its distrust exceeds its trust by more than ``MARGIN``.
 
 Host edges are counted before the shuffle, so a host with a third of the pages costs one row for
-each task and target.  Ranks move by ``ROUNDS`` joins on host; every ``CUT`` rounds they are written
-to the checkpoint folder.  A host without outgoing links keeps its rank (a link to itself).
+each task and target.  A round is one join of the links with the ranks and one sum: what a host keeps
+and its seed are rows of the same sum.  Ranks are written after every round, so a plan never holds two
+of them; links lie in the checkpoint folder, and a hub's links are a side that adaptive execution may
+split.  A host without outgoing links keeps its rank.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, no rule, no links and
-no rank, and is allowed; relative links and links to the own host are no host edges; a null html has
-no links; repeated rows are judged alike.
+no rank, and is allowed; relative links and links to the own host are no host edges; a null or empty
+html has no links, a very long one is read whole; repeated rows are judged alike; equal trust and
+distrust allow; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,6 @@ RULES = (
 )
 DAMPING = 0.85
 ROUNDS = 20
-CUT = 5
 MARGIN = 0.0
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -70,6 +72,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return ends.filter("dst <> '' AND dst <> src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def spread(ranks: DataFrame, moves: DataFrame) -> DataFrame:
+    """One round for ``ranks`` (host, way, seed, sends, rank): the same columns."""
+    own = ranks.select("host", "way", "seed", "sends", F.when(F.col("sends"), 0.0).otherwise(F.col("rank")).alias("got"))
+    sent = moves.join(ranks.select(F.col("host").alias("src"), "way", "rank"), ["src", "way"])
+    sent = sent.select(F.col("dst").alias("host"), "way", F.lit(0.0).alias("seed"), F.lit(False).alias("sends"), (F.col("rank") * F.col("p")).alias("got"))
+    total = own.unionByName(sent).groupBy("host", "way").agg(F.sum("seed").alias("seed"), F.max("sends").alias("sends"), F.sum("got").alias("got"))
+    return total.select("host", "way", "seed", "sends", ((1 - DAMPING) * F.col("seed") + DAMPING * F.col("got")).alias("rank"))
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """host, trust, distrust from ``seeds`` (host, allowed, blocked: shares of the seed mass).
 
@@ -83,17 +94,15 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     ends = moves.select("way", F.col("dst").alias("host"), F.lit(0.0).alias("seed")).unionByName(moves.select("way", F.col("src").alias("host"), F.lit(0.0).alias("seed")))
     keeps = moves.select("way", F.col("src").alias("host")).distinct().withColumn("sends", F.lit(True))
     nodes = start.unionByName(ends).groupBy("host", "way").agg(F.sum("seed").alias("seed"))
-    nodes = scratch.put(nodes.join(keeps, ["host", "way"], "left").select("host", "way", "seed", F.coalesce("sends", F.lit(False)).alias("sends")))
-    ranks = nodes.select("host", "way", F.col("seed").alias("rank"))
+    nodes = scratch.put(nodes.join(keeps, ["host", "way"], "left").select("host", "way", "seed", F.coalesce("sends", F.lit(False)).alias("sends"), F.col("seed").alias("rank")))
     if moves.isEmpty():  # every host keeps what it has: each round gives the ranks it got
         rounds = 0
-    for i in range(1, rounds + 1):
-        got = moves.join(ranks, (moves.src == ranks.host) & (moves.way == ranks.way)).groupBy(moves.way, moves.dst.alias("host")).agg(F.sum(ranks.rank * moves.p).alias("got"))
-        now = nodes.join(ranks, ["host", "way"]).join(got, ["host", "way"], "left")
-        kept = F.when(F.col("sends"), 0.0).otherwise(F.col("rank"))
-        ranks = now.select("host", "way", ((1 - DAMPING) * F.col("seed") + DAMPING * (kept + F.coalesce("got", F.lit(0.0)))).alias("rank"))
-        if i % CUT == 0:
-            ranks = scratch.put(ranks)
+    ranks = nodes
+    for _ in range(rounds):
+        after = scratch.put(spread(ranks, moves))
+        if ranks is not nodes:
+            scratch.drop(ranks)
+        ranks = after
     return ranks.groupBy("host").agg(F.sum(F.when(F.col("way") == 0, F.col("rank"))).alias("trust"), F.sum(F.when(F.col("way") == 1, F.col("rank"))).alias("distrust"))
 
 
