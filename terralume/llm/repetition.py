@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches, pieces, table, text_bytes
+from .common import batch, few_rows_a_batch, map_batches, pieces, table, text_bytes
 
 #: Production parameters.
 BASE_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_WORDS = 20  # per cent of the words
 MIN_REPEAT = 10
-MAX_COVERED = 0.10
+MAX_COVERED = 0.20
 MAX_REPEAT = 60
 CHUNK_WORDS = 400_000
 
@@ -201,6 +201,7 @@ def keep_good(df: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int =
                 texts = [x.encode() if x is not None else b"" for x in b.column(b.schema.get_field_index("text")).to_pylist()]
                 yield b.filter(pa.array(judge(measure(texts), max_covered, max_repeat)[1]))
 
+    few_rows_a_batch(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
