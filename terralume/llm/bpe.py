@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches, table
 
 SHORT = 48
-CACHE = 500_000
+CACHE = 250_000
 CACHE_CHARS = 64
 TOKEN_LIMIT = 512
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
-__all__ = ["Scratch", "batch", "map_batches", "partitions", "small_side", "table", "text_bytes"]
+__all__ = ["Scratch", "batch", "few_rows_a_batch", "map_batches", "partitions", "pieces", "small_side", "table", "text_bytes"]
 
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,7 +44,7 @@ def small_side(df: DataFrame, row_bytes: Column | int, cap: int | None = None) -
     return F.broadcast(df) if total <= (BROADCAST_BYTES if cap is None else cap) else df
 
 
-#: Rows, and bytes, that a batch function sees at once; Spark itself sends at most 64 MB.
+#: Rows, and bytes, that a batch function sees at once.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
@@ -57,6 +57,14 @@ def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, step)
 
 
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Text rows are wide: where the session has Spark's default, its Arrow batches get ``BATCH_ROWS`` rows,
+    as the JVM holds a whole batch outside its heap.  (Spark's own limit of 64 MB a batch stays.)"""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with per-task state: ``make()`` runs once in a task and gives the batch function."""
 
@@ -66,6 +74,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for piece in pieces(b):
                 yield fn(piece)
 
+    few_rows_a_batch(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
