@@ -1,31 +1,34 @@
 """Repeated byte strings: every byte covered by a LENGTH-byte string that starts anywhere else goes.
 
 The suffixes of all texts, ordered through LENGTH bytes only, fall into equal groups; the groups of
-two or more are exactly the repeated windows.  They are found by most-significant-digit passes, of
-which only the last see single suffixes:
-
-1. First digit.  Each window's digit is the hash of one GRAM-byte string inside it, picked by content
-   (the least hash, the rightmost of equals), with the offset at which it lies.  Consecutive windows
-   share their pick, so the pass handles *anchors* (one for about 70 windows).  Picks seen once are
-   singletons: their windows are done.
-2. Second digit: the hash of all bytes that an anchor's windows span.  Where two anchors agree, all
-   their windows repeat.  What is left are anchors that agree in the pick but not in the whole span.
-3. Remaining digits: those anchors' spans, one copy of each, meet by pick.  Their windows are sorted
-   by (pick, offset) and then by one block of bytes after another; a pass drops the suffixes that are
-   alone in their group.  Picks with more than HOT different spans are not gathered: there the last
-   digits are one hash for each window, grouped by Spark.
-
-Blocks are compared by 64-bit hashes (a window by four of them).  Counting before the shuffle
-collapses copies: identical texts are one occurrence by content until the end, where a text that
-occurs in two rows repeats in whole.  Texts longer than SLICE are cut into overlapping slices, so
-memory is bounded by the slice; no window is lost.
+two or more are exactly the repeated windows.  Two steps first set aside what needs no ordering, then
+most-significant-digit passes over the windows' own bytes decide:
+
+1. Partition.  Each window has a *pick*, one GRAM-byte string inside it, chosen by content (the least
+   hash, the rightmost of equals), and the offset at which it lies.  Equal windows have equal picks at
+   equal offsets.  Consecutive windows share their pick, so this step handles *anchors* (one for about 70
+   windows).  Windows whose pick occurs once are singletons and done.
+2. Whole spans.  Where the bytes that two anchors' windows span have one 128-bit digest, all their windows
+   repeat.  What is left are anchors that agree in the pick but not in the whole span.
+3. Digits.  Those anchors' spans, one copy of each, meet by pick.  Their windows, grouped by pick and
+   offset, are sorted by one digit of DIGIT bytes after another, from the first to the last of LENGTH;
+   a pass drops the suffixes that are alone in their group, and what survives the last pass is equal
+   byte for byte.  Picks with more than HOT different spans are not gathered in one task: there a row
+   a window is dealt by a 128-bit digest of the whole window and counted by Spark.
+
+So digests decide identical texts (64 bits and the size), identical spans and the windows of the most
+frequent picks (128 bits); bytes decide every other window.  Counting before the shuffle collapses
+copies: identical texts are one occurrence by content until the end, where a text that occurs in two
+rows repeats in whole.  Texts longer than SLICE are cut into overlapping slices, so memory is bounded by
+the slice; no window is lost.
 
 What the documents are joined with (their runs of windows) is broadcast if its measured size allows
 it; else the join is shuffled.
 
 Defined results: a null text counts as empty; a text of under LENGTH bytes loses nothing; bytes may
 be cut inside a character (the rest is a byte string); rows that repeat a doc_id are separate
-occurrences.
+occurrences; a very long text is searched whole; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -49,9 +52,12 @@ CHUNK = 1 << 20
 HOT = 20_000
 #: Spans that are sorted together.
 GROUP_SPANS = 8_000
+#: Bytes of a digit.
+DIGIT = 8
 
 _U = np.uint64
 _MASK = _U(0xFFFFFF)
+_HALF = (1 << 64) - 1
 _ODD = _U(0x9E3779B97F4A7C15)
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) | 1 for b in range(256)], _U)
 
@@ -97,7 +103,7 @@ def _slices(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 def anchors(texts: list[bytes], spans: bool) -> dict[str, np.ndarray]:
     """row, lo, n, off, pick (and span) of every anchor: windows lo .. lo + n - 1 of the row's text
     have the pick at lo + off."""
-    got: dict[str, list] = {k: [] for k in ("row", "lo", "n", "off", "pick", "span")}
+    got: dict[str, list] = {k: [] for k in ("row", "lo", "n", "off", "pick", "span", "span2")}
     for chunk in _slices(texts):
         raw = b"".join(p for _, _, p in chunk)
         flat = np.frombuffer(raw, np.uint8)
@@ -124,8 +130,10 @@ def anchors(texts: list[bytes], spans: bool) -> dict[str, np.ndarray]:
         got["pick"].append(h[pos])
         if spans:
             view = memoryview(raw)
-            got["span"].append(np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), (lo + n + LENGTH - 1).tolist())), _U, len(lo)))
-    return {k: np.concatenate(v) if v else np.empty(0, _U if k in ("pick", "span") else np.int64) for k, v in got.items()}
+            digests = [xxhash.xxh3_128_intdigest(view[a:b]) for a, b in zip(lo.tolist(), (lo + n + LENGTH - 1).tolist())]
+            got["span"].append(np.fromiter((x & _HALF for x in digests), _U, len(lo)))
+            got["span2"].append(np.fromiter((x >> 64 for x in digests), _U, len(lo)))
+    return {k: np.concatenate(v) if v else np.empty(0, _U if k in ("pick", "span", "span2") else np.int64) for k, v in got.items()}
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -138,21 +146,24 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tied_windows(flat: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which windows (at ``at`` in ``flat``, first digits in ``group``) equal another: MSD passes."""
-    blocks = _gram_hashes(flat, 64)
-    tail = _gram_hashes(flat, 8)
-    alive, key = np.arange(len(at)), group
-    for digit, off in ((None, 0), (blocks, 0), (blocks, 64), (blocks, 128), (tail, 192)):
-        if digit is not None:
-            key = _mix(key, digit[at[alive] + off])
-        order = np.argsort(key)
-        s = key[order]
-        same = s[1:] == s[:-1]
-        tie = np.zeros(len(s), bool)
-        tie[1:] |= same
-        tie[:-1] |= same
-        order = order[tie]
-        alive, key = alive[order], key[order]
+    """Which windows (at ``at`` in ``flat``) equal another of their ``group``: passes over byte digits."""
+    alive = np.arange(len(at))
+    _, held = np.unique(group, return_inverse=True)
+    width = np.arange(DIGIT)
+    for off in range(-DIGIT, LENGTH, DIGIT):
+        if off < 0:  # the groups given
+            order = np.argsort(held, kind="stable")
+            s = held[order]
+            new = s[1:] != s[:-1]
+        else:
+            digit = flat[(at[alive] + off)[:, None] + width].view(">u8")[:, 0].astype(_U)
+            order = np.lexsort((digit, held))
+            s, d = held[order], digit[order]
+            new = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+        first = np.concatenate(([True], new))
+        tie = ~(first & np.concatenate((new, [True])))
+        held = (np.cumsum(first) - 1)[tie]
+        alive = alive[order[tie]]
         if not len(alive):
             break
     return np.sort(alive)
@@ -237,22 +248,20 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _hot_runs(spans: DataFrame) -> DataFrame:
     """The same for picks with very many spans: a row for each window, grouped by Spark."""
-    schema = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("size", pa.int64()), ("lo", pa.int64())])
+    schema = pa.schema([("key", pa.binary()), ("uid", pa.int64()), ("size", pa.int64()), ("lo", pa.int64())])
 
     def make():
         def fn(b):
             cols = {k: b.column(i).to_pylist() for i, k in enumerate(b.schema.names)}
             flat, at, span, j = _windows(cols)
-            blocks, tail = _gram_hashes(flat, 64), _gram_hashes(flat, 8)
-            key = _mix(np.array(cols["pick"]).view(_U)[span], (np.array(cols["off"])[span] - j).astype(_U))
-            for digit, off in ((blocks, 0), (blocks, 64), (blocks, 128), (tail, 192)):
-                key = _mix(key, digit[at + off])
+            view = memoryview(flat)
+            keys = [xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in at.tolist()]
             col = lambda k: np.array(cols[k], np.int64)[span]
-            return batch(schema, [_long(key), col("uid"), col("size"), col("lo") + j])
+            return batch(schema, [keys, col("uid"), col("size"), col("lo") + j])
 
         return fn
 
-    rows = map_batches(spans, make, "key long, uid long, size long, lo long").withColumn("occ", F.xxhash64("uid", "size", "lo"))
+    rows = map_batches(spans, make, "key binary, uid long, size long, lo long").withColumn("occ", F.xxhash64("uid", "size", "lo"))
     many = rows.groupBy("key").agg(F.min("occ").alias("a"), F.max("occ").alias("b")).filter("a <> b").select("key")
     return rows.join(many, "key", "left_semi").select("uid", "size", "lo", F.lit(1).cast("long").alias("n"))
 
@@ -284,23 +293,26 @@ def repeated_runs(rows: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFram
     again = first.groupBy("pick").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("pick")
     again = scratch.put(again)
 
-    span_schema = pa.schema([("pick", pa.int64()), ("span", pa.int64()), ("uid", pa.int64()), ("size", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("off", pa.int64())])
+    span_schema = pa.schema([("pick", pa.int64()), ("span", pa.int64()), ("span2", pa.int64()), ("uid", pa.int64()), ("size", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("off", pa.int64())])
 
     def spans():
         def fn(b):
             got = anchors(b.column(2).to_pylist(), True)
             row = got["row"]
-            return batch(span_schema, [_long(got["pick"]), _long(got["span"]), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], got["lo"], got["n"], got["off"]])
+            return batch(span_schema, [_long(got["pick"]), _long(got["span"]), _long(got["span2"]), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], got["lo"], got["n"], got["off"]])
 
         return fn
 
-    every = map_batches(long_rows.select("uid", "size", "text"), spans, "pick long, span long, uid long, size long, lo long, n long, off long")
+    every = map_batches(long_rows.select("uid", "size", "text"), spans, "pick long, span long, span2 long, uid long, size long, lo long, n long, off long")
     tied = every.join(small_side(again, 16), "pick", "left_semi").withColumn("occ", F.xxhash64("uid", "size", "lo"))
     tied = scratch.put(tied)
-    second = tied.groupBy("pick", "span").agg(F.min("occ").alias("a"), F.max("occ").alias("b"))
-    kinds = second.groupBy("pick").agg(F.count(F.lit(1)).alias("kinds"))
-    second = second.join(kinds, "pick").select("pick", "span", "a", (F.col("a") != F.col("b")).alias("twice"), "kinds")
-    told = scratch.put(tied.join(second, ["pick", "span"]).filter((F.col("kinds") > 1) & (F.col("occ") == F.col("a")) | F.col("twice")))
+    scratch.drop(again)
+    # both are written, so that each join has shuffles of its own, which may be split at a frequent pick
+    second = scratch.put(tied.groupBy("pick", "span", "span2").agg(F.min("occ").alias("a"), F.max("occ").alias("b")))
+    kinds = scratch.put(second.groupBy("pick").agg(F.count(F.lit(1)).alias("kinds")))
+    joined = second.join(kinds, "pick").select("pick", "span", "span2", "a", (F.col("a") != F.col("b")).alias("twice"), "kinds")
+    told = scratch.put(tied.join(joined, ["pick", "span", "span2"]).filter((F.col("kinds") > 1) & (F.col("occ") == F.col("a")) | F.col("twice")))
+    scratch.drop(tied, second, kinds)
 
     copies = rows.groupBy("uid", "size").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("rep")).filter("rows > 1").select("uid", "size", "rep")
     ship = told.filter((F.col("kinds") > 1) & (F.col("occ") == F.col("a"))).groupBy("uid", "size")
@@ -311,7 +323,9 @@ def repeated_runs(rows: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFram
     runs = told.filter("twice").select("uid", "size", "lo", "n").unionByName(cold)
     if not gathered.filter("hot").isEmpty():
         runs = runs.unionByName(_hot_runs(gathered.filter("hot").drop("hot")))
-    return scratch.put(runs.groupBy("uid", "size").agg(F.collect_list(F.col("lo") * 256 + F.col("n")).alias("runs")))
+    out = scratch.put(runs.groupBy("uid", "size").agg(F.collect_list(F.col("lo") * 256 + F.col("n")).alias("runs")))
+    scratch.keep(out)
+    return out
 
 
 def cut(text: bytes, runs: list[int] | None, whole: bool) -> tuple[bytes, int, int]:
