@@ -8,8 +8,8 @@
    a count; the rest link to the smallest holder, and components of those links are *units*: no pair
    with a common band lies in two of them.
 3. Each unit is dealt to jobs in the cheaper of two exact ways, counted beforehand.  Either all its
-   pairs meet: its rows are hashed into blocks of about ``BLOCK`` rows and ``BLOCK_BYTES``, every two
-   blocks are a job, and a row is copied once for each block.  Or only pairs that share a band meet:
+   pairs meet: its rows are hashed into blocks of at most about ``BLOCK`` rows and ``BLOCK_BYTES``, every
+   two blocks are a job, and a row is copied once for each block.  Or only pairs that share a band meet:
    a row is copied once for each of its shared bands (``BANDS`` at most) and block of that band, and a
    pair counts in its first common band alone.  So a unit of similar texts costs what its links cost,
    and a long chain of texts that are linked by bands but not alike stays linear in its rows.
@@ -32,7 +32,7 @@ returned untouched; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +50,11 @@ BANDS = 40
 HASHES = ROWS * BANDS
 STEP = 24
 TOLERANCE = 1e-6
-#: Rows, and bytes of signatures and sets, of a block.
+#: Most rows, and bytes of signatures and sets, of a block; smaller blocks, of FEW rows at least, are cut
+#: while a unit gives fewer jobs than there are tasks.
 BLOCK = 1024
 BLOCK_BYTES = 8 << 20
+FEW = 128
 #: Word hashes that a task remembers, of words of at most CACHE_BYTES.
 CACHE = 200_000
 CACHE_BYTES = 64
@@ -311,18 +313,20 @@ def _pick() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
 
 
-def _blocks() -> Column:
+def _blocks(tasks: int) -> Column:
     """Blocks for rows with ``shingles``, as an aggregate."""
-    size = F.sum(F.col("shingles") * 8 + 4 * HASHES)
-    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    rows, size = F.count(F.lit(1)), F.sum(F.col("shingles") * 8 + 4 * HASHES)
+    spread = F.least(F.ceil(rows / FEW), F.lit(isqrt(2 * tasks) + 1))
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES), spread).cast("int")
 
 
 def _places(sketch: DataFrame, shared: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
     """uid, pick_id, text_hash (the row that stands for the set) and its places in jobs."""
+    blocks = _blocks(partitions(sketch.sparkSession)).alias("blocks")
     picks = sketch.groupBy("uid").agg(_pick().alias("pick"), F.max("shingles").alias("shingles"))
     picks = picks.join(units, picks.uid == units.node).select("uid", "root", "shingles", F.col("pick.doc_id").alias("pick_id"), F.col("pick.text_hash").alias("text_hash"))
     picks = scratch.put(picks)
-    large = scratch.put(picks.groupBy("root").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("n")).filter("blocks > 1"))
+    large = scratch.put(picks.groupBy("root").agg(blocks, F.count(F.lit(1)).alias("n")).filter("blocks > 1"))
     whole = picks.join(small_side(large, 24), "root", "left")
     plain = lambda df: df.select("uid", "pick_id", "text_hash", F.array(F.struct(F.col("root").alias("grp"), F.lit(-1).alias("own"), F.coalesce("blocks", F.lit(1)).alias("blocks"))).cast(_PLACES).alias("places"))
     if large.isEmpty():
@@ -332,7 +336,7 @@ def _places(sketch: DataFrame, shared: DataFrame, units: DataFrame, scratch: Scr
     same = (sketch.uid == of_large.uid) & (sketch.text_hash == of_large.text_hash) & sketch.doc_id.eqNullSafe(of_large.pick_id)
     held = sketch.join(of_large, same).select(sketch.uid, "root", sketch.shingles, F.posexplode("bands").alias("own", "band")).distinct()
     held = scratch.put(held.join(shared.select("band"), "band"))
-    band = scratch.put(held.groupBy("root", "band").agg(_blocks().alias("blocks"), F.count(F.lit(1)).alias("n")))
+    band = scratch.put(held.groupBy("root", "band").agg(blocks, F.count(F.lit(1)).alias("n")))
     copies = band.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("copies")).join(large, "root")
     by_band = small_side(scratch.put(copies.filter(F.col("copies") < F.col("n") * F.col("blocks")).select("root")), 16)
     placed = held.join(by_band, "root", "left_semi").join(small_side(band.filter("n > 1").select("band", "blocks"), 24), "band")
