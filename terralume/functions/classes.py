@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,63 +17,64 @@ COLOURS = {
 #: Classes that both a height label and a spectral label can hold.
 COMMON = (VEGETATION, BARE, WATER, SENESCENT)
 IGNORE = 255
-#: Training ids; everything else is IGNORE.
+# Training ids; everything else is IGNORE.
 TRAIN_IDS = {BARE: 0, WATER: 1, SENESCENT: 2, VEGETATION: 3}
-#: Crosswalk to {1 vegetation, 2 bare, 3 water}: own classes, and codes of the land-cover reference.
+# Crosswalk to {1 vegetation, 2 bare, 3 water}: own classes, and codes of the land-cover reference.
 OWN_TO_COMMON = {VEGETATION: 1, SENESCENT: 1, BARE: 2, WATER: 3}
 COVER_TO_COMMON = {10: 1, 20: 1, 30: 1, 40: 1, 90: 1, 95: 1, 100: 1, 50: 2, 60: 2, 70: 2, 80: 3}
 #: Scene classes of clear pixels.
 CLEAR_SCL = (2, 4, 5, 6, 7)
+# Bins by their upper ends, and the tiles that a city's audit draws first.
 SLOPE_BINS = (("flat", 5.0), ("gentle", 10.0), ("moderate", 20.0), ("steep", None))
 CANOPY_BINS = (("low", 5.0), ("sparse", 20.0), ("medium", 40.0), ("high", 60.0), ("park", None))
+#: rank, city (any if null) and the bins that a tile must have in each column; the least rank that fits counts.
+FIRST_DRAWN = (
+    (0, "wellington", {"slope": ("steep",), "canopy": ("medium", "high", "park")}),
+    (1, "auckland", {"building": ("high",)}),
+    (2, "christchurch", {"canopy": ("park",)}),
+    (3, "tauranga", {"canopy": ("high", "park")}),
+    (4, None, {"canopy": ("low",)}),
+)
+DRAWN_LAST = 5
 
 
-@dataclass(frozen=True)
-class LabelSpec:
-    veg_ndvi: float = 0.45
-    senescent_ndvi: float = 0.20
-    water_ndwi: float = 0.10
-    shrub_min_m: float = 0.5
-    canopy_min_m: float = 3.0
-    min_area_m2: float = 4.0
-
-
-SPEC = LabelSpec()
+# Where the rules cut NDVI, NDWI and height in metres.
+CUTS = {"vigorous_ndvi": 0.45, "senescent_ndvi": 0.20, "water_ndwi": 0.10, "shrub_m": 0.5, "canopy_m": 3.0}
 
 
-def gates(ndvi="ndvi", ndwi="ndwi", spec: LabelSpec = SPEC) -> dict[str, Column]:
+def gates(ndvi="ndvi", ndwi="ndwi", cuts: dict[str, float] = CUTS) -> dict[str, Column]:
     """valid, vigorous, senescent and water, none of them NULL."""
     nd, nw = _col(ndvi), _col(ndwi)
     sure = lambda c: F.coalesce(c, F.lit(False))
     return {
         "valid": nd.isNotNull(),
-        "vigorous": sure(nd >= spec.veg_ndvi),
-        "senescent": sure((nd >= spec.senescent_ndvi) & (nd < spec.veg_ndvi)),
-        "water": sure((nw >= spec.water_ndwi) & (nd < spec.veg_ndvi)),
+        "vigorous": sure(nd >= cuts["vigorous_ndvi"]),
+        "senescent": sure((nd >= cuts["senescent_ndvi"]) & (nd < cuts["vigorous_ndvi"])),
+        "water": sure((nw >= cuts["water_ndwi"]) & (nd < cuts["vigorous_ndvi"])),
     }
 
 
-def _structure(height, spec: LabelSpec) -> Column:
+def _structure(height, cuts: dict[str, float]) -> Column:
     h = _col(height)
-    return F.when(h >= spec.canopy_min_m, CANOPY).when(h >= spec.shrub_min_m, SHRUB).otherwise(LOW_VEG)
+    return F.when(h >= cuts["canopy_m"], CANOPY).when(h >= cuts["shrub_m"], SHRUB).otherwise(LOW_VEG)
 
 
-def spectral_label(ndvi="ndvi", ndwi="ndwi", spec: LabelSpec = SPEC) -> Column:
-    g = gates(ndvi, ndwi, spec)
+def spectral_label(ndvi="ndvi", ndwi="ndwi", cuts: dict[str, float] = CUTS) -> Column:
+    g = gates(ndvi, ndwi, cuts)
     return F.when(~g["valid"], NODATA).when(g["water"], WATER).when(g["vigorous"], VEGETATION).when(g["senescent"], SENESCENT).otherwise(BARE)
 
 
-def height_spectral_label(height="chm", ndvi="ndvi", ndwi="ndwi", spec: LabelSpec = SPEC) -> Column:
+def height_spectral_label(height="chm", ndvi="ndvi", ndwi="ndwi", cuts: dict[str, float] = CUTS) -> Column:
     """Vigorous pixels are told apart by height; one without a height is low vegetation."""
-    g = gates(ndvi, ndwi, spec)
+    g = gates(ndvi, ndwi, cuts)
     return (
-        F.when(~g["valid"], NODATA).when(g["water"], WATER).when(g["vigorous"], _structure(height, spec)).when(g["senescent"], SENESCENT).otherwise(BARE)
+        F.when(~g["valid"], NODATA).when(g["water"], WATER).when(g["vigorous"], _structure(height, cuts)).when(g["senescent"], SENESCENT).otherwise(BARE)
     )
 
 
-def height_greenness_label(height="chm", exg="exg", threshold: float = 0.0, spec: LabelSpec = SPEC) -> Column:
+def height_greenness_label(height="chm", exg="exg", threshold: float = 0.0, cuts: dict[str, float] = CUTS) -> Column:
     e = _col(exg)
-    return F.when(e.isNull(), NODATA).when(e >= threshold, _structure(height, spec)).otherwise(BARE)
+    return F.when(e.isNull(), NODATA).when(e >= threshold, _structure(height, cuts)).otherwise(BARE)
 
 
 def lookup(col, mapping: dict[int, int], default: int) -> Column:
@@ -127,12 +126,11 @@ def building_bin(share) -> Column:
 
 def priority(city, canopy, building, slope) -> Column:
     """0 is drawn first: the tiles whose labels carry most risk, by city."""
-    c, cb, bb, sb = F.lower(_col(city)), _col(canopy), _col(building), _col(slope)
-    return (
-        F.when((c == "wellington") & (sb == "steep") & cb.isin("medium", "high", "park"), 0)
-        .when((c == "auckland") & (bb == "high"), 1)
-        .when((c == "christchurch") & (cb == "park"), 2)
-        .when((c == "tauranga") & cb.isin("high", "park"), 3)
-        .when(cb == "low", 4)
-        .otherwise(5)
-    )
+    have = {"canopy": _col(canopy), "building": _col(building), "slope": _col(slope)}
+    out = F.lit(DRAWN_LAST)
+    for rank, place, wanted in reversed(FIRST_DRAWN):
+        fits = F.lit(True) if place is None else F.lower(_col(city)) == place
+        for column, values in wanted.items():
+            fits = fits & have[column].isin(*values)
+        out = F.when(fits, rank).otherwise(out)
+    return out

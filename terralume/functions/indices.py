@@ -112,6 +112,59 @@ def mercator_inverse(x, y) -> tuple[Column, Column]:
     return F.degrees(_col(x) / r), F.degrees(2 * F.atan(F.exp(_col(y) / r)) - F.pi() / 2)
 
 
+# Semi-major axis and inverse flattening of GRS 80 and WGS 84.
+GRS80, WGS84 = (6378137.0, 298.257222101), (6378137.0, 298.257223563)
+
+
+def transverse_zone(epsg: int) -> dict:
+    """Ellipsoid, central meridian, scale and false origin of EPSG:2193 or a UTM zone (326nn, 327nn)."""
+    if epsg == 2193:
+        return {"ellipsoid": GRS80, "lon0": 173.0, "k0": 0.9996, "east0": 1_600_000.0, "north0": 10_000_000.0}
+    side, zone = divmod(epsg, 100)
+    if side not in (326, 327) or not 1 <= zone <= 60:
+        raise ValueError(f"no transverse Mercator zone for EPSG:{epsg}")
+    return {"ellipsoid": WGS84, "lon0": 6.0 * zone - 183, "k0": 0.9996, "east0": 500_000.0, "north0": 10_000_000.0 if side == 327 else 0.0}
+
+
+def _series(ellipsoid: tuple[float, float]) -> tuple[float, float, list[float], list[float]]:
+    """Eccentricity, rectifying radius and the coefficients, to the fourth power of the third flattening, of
+    the sine series between conformal and rectifying coordinates (there, back)."""
+    a, inverse = ellipsoid
+    f = 1 / inverse
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    there = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    back = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    return (f * (2 - f)) ** 0.5, radius, there, back
+
+
+def transverse_mercator(lon, lat, epsg: int) -> tuple[Column, Column]:
+    """Longitude and latitude to easting and northing in metres; a millimetre within a zone."""
+    z = transverse_zone(epsg)
+    e, radius, there, _ = _series(z["ellipsoid"])
+    away, sine = F.radians(_col(lon) - z["lon0"]), F.sin(F.radians(_col(lat)))
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    north, east = xi, eta
+    for j, c in enumerate(there, 1):
+        north, east = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta), east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return z["east0"] + z["k0"] * radius * east, z["north0"] + z["k0"] * radius * north
+
+
+def transverse_mercator_inverse(east, north, epsg: int) -> tuple[Column, Column]:
+    z = transverse_zone(epsg)
+    e, radius, _, back = _series(z["ellipsoid"])
+    xi, eta = (_col(north) - z["north0"]) / (z["k0"] * radius), (_col(east) - z["east0"]) / (z["k0"] * radius)
+    x, y = xi, eta
+    for j, c in enumerate(back, 1):
+        x, y = x - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta), y - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    conformal = F.sin(x) / F.sqrt(F.sinh(y) * F.sinh(y) + F.cos(x) * F.cos(x))  # its tangent
+    sine = conformal / F.sqrt(1 + conformal * conformal)
+    for _ in range(4):  # the latitude whose conformal one this is; each step wins three digits
+        sine = F.tanh(F.asinh(conformal) + e * F.atanh(e * sine))
+    return z["lon0"] + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(F.asin(sine))
+
+
 def sphere_point(lon, lat, radius: float = 1.0) -> Column:
     """The point on a sphere with y up."""
     phi, theta = F.radians(90 - _col(lat)), F.radians(_col(lon) + 180)

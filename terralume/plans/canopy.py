@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, indices
 from ..operators import grid, metrics, morphology, resample, terrain
+from ..sources.scratch import Scratch
 from . import pipelines
 from . import views as V
 from .views import r6
@@ -55,13 +56,6 @@ def tile_slope_stats(spark, sf):
     return got.select("tile_id", *[r6(F.col(k)).alias(k) for k in ("mean_slope_deg", "p95_slope_deg", "max_slope_deg")], "slope_bin")
 
 
-def tile_label_stats(spark, sf):
-    px = _planes(spark, sf)
-    h, w = V.dims(px)
-    got = pipelines.tile_label_stats(px, h, w, TILE)
-    return got.select("tile_id", "threshold_m", "valid_px", "canopy_px", r6(F.col("canopy_pct")).alias("canopy_pct"), r6(F.col("raw_canopy_pct")).alias("raw_canopy_pct"), "building_px", "removed_area_m2")
-
-
 def _planes(spark, sf):
     """valid, raw, building, final without components: what tile statistics read."""
     return V.chm_px(spark, sf).select(
@@ -69,16 +63,30 @@ def _planes(spark, sf):
     ).withColumn("final", F.col("raw") & ~F.col("building"))
 
 
-def slope_bin_summary(spark, sf):
-    px = _planes(spark, sf)
+def tile_label_stats(spark, sf, planes=_planes):
+    px = planes(spark, sf)
+    h, w = V.dims(px)
+    got = pipelines.tile_label_stats(px, h, w, TILE)
+    return got.select("tile_id", "threshold_m", "valid_px", "canopy_px", r6(F.col("canopy_pct")).alias("canopy_pct"), r6(F.col("raw_canopy_pct")).alias("raw_canopy_pct"), "building_px", "removed_area_m2")
+
+
+def _final_planes(spark, sf):
+    """The planes of the whole clean-up, written once: tile statistics and city figures read them."""
+    px = V.chm_px(spark, sf)
+    got = pipelines.pseudo_labels(px.select("r", "c", "h", "exg"), *V.dims(px), boxes=_boxes(spark, sf), exg_threshold=-0.2, min_area=4, roof_exg=0.02, roof_area=12, top=40.0)
+    return Scratch(spark).put(got.select("r", "c", "valid", "raw", "building", "final"))
+
+
+def slope_bin_summary(spark, sf, planes=_planes):
+    px = planes(spark, sf)
     h, w = V.dims(px)
     stats = pipelines.tile_label_stats(px, h, w, TILE).join(_slope_tiles(spark, sf).select("tile_id", "slope_bin"), "tile_id")
     got = pipelines.slope_summary(stats)
     return got.select("place", "slope_bin", "tile_count", r6(F.col("mean_raw_canopy_pct")).alias("mean_raw_canopy_pct"), r6(F.col("mean_final_canopy_pct")).alias("mean_final_canopy_pct"), "total_removed_area_m2")
 
 
-def city_audit_summary(spark, sf):
-    px = _planes(spark, sf)
+def city_audit_summary(spark, sf, planes=_planes):
+    px = planes(spark, sf)
     h, w = V.dims(px)
     got = pipelines.city_summary(px, pipelines.tile_label_stats(px, h, w, TILE))
     return got.select(*[r6(F.col(c)).alias(c) for c in got.columns])
@@ -259,6 +267,7 @@ ls AS (SELECT tile_id, CAST(2 AS DOUBLE) AS threshold_m, count_if(valid) AS vali
   CASE WHEN count_if(valid) > 0 THEN count_if(valid AND raw AND NOT building) / count_if(valid) * 100 ELSE 0 END AS canopy_pct,
   CASE WHEN count_if(valid) > 0 THEN count_if(valid AND raw) / count_if(valid) * 100 ELSE 0 END AS raw_canopy_pct,
   count_if(building) AS building_px, CAST(count_if(raw AND building) AS DOUBLE) AS removed_area_m2 FROM pl GROUP BY tile_id)"""
+_NO_BUILDING = "raw AND NOT building"
 _SLOPE = """g AS (SELECT tile_id0.*, CASE WHEN c = 0 THEN lead(dsm) OVER ac - dsm WHEN c = mc THEN dsm - lag(dsm) OVER ac ELSE (lead(dsm) OVER ac - lag(dsm) OVER ac) / 2 END AS dx,
   CASE WHEN r = 0 THEN lead(dsm) OVER dn - dsm WHEN r = mr THEN dsm - lag(dsm) OVER dn ELSE (lead(dsm) OVER dn - lag(dsm) OVER dn) / 2 END AS dy
   FROM (SELECT r, c, dsm FROM chm) tile_id0, dim WINDOW ac AS (PARTITION BY r ORDER BY c), dn AS (PARTITION BY c ORDER BY r)),
@@ -287,11 +296,41 @@ _BOXES = "boxes AS (SELECT s_suppkey AS id, CAST(s_suppkey * 7 % 50 AS DOUBLE) +
 _BURN = "SELECT DISTINCT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM boxes, range(40) a(r), range(50) b(c) WHERE c + 1 > x0 AND c < x1 AND 40 - r > y0 AND 40 - r - 1 < y1"
 
 
-def _window(value: str, agg: str) -> str:
-    return f"""WITH {V.CHM}, {_DIM}, v AS (SELECT r, c, {value} AS v FROM chm), k AS (SELECT *, least(12, mr + 1, mc + 1) AS win, greatest(1, least(12, mr + 1, mc + 1) // 4) AS stride FROM dim),
+def _windows(value: str, agg: str, win: int) -> str:
+    """CTEs up to ``best``: the window with the greatest score, the first of equals."""
+    return f"""WITH {V.CHM}, {_DIM}, v AS (SELECT r, c, {value} AS v FROM chm), k AS (SELECT *, least({win}, mr + 1, mc + 1) AS win, greatest(1, least({win}, mr + 1, mc + 1) // 4) AS stride FROM dim),
 a AS (SELECT i * stride AS y0, j * stride AS x0, win FROM k, range(2000) p(i), range(200) q(j) WHERE i * stride + win <= mr + 1 AND j * stride + win <= mc + 1),
-s AS (SELECT y0, x0, win, round({agg}(v), 9) AS score FROM a JOIN v ON r >= y0 AND r < y0 + win AND c >= x0 AND c < x0 + win GROUP BY ALL)
-SELECT CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, CAST(win AS INT) AS win, round(score, 6) AS score FROM s ORDER BY score DESC, y0, x0 LIMIT 1"""
+w AS (SELECT y0, x0, win, round({agg}(v), 9) AS score FROM a JOIN v ON r >= y0 AND r < y0 + win AND c >= x0 AND c < x0 + win GROUP BY ALL),
+best AS (SELECT * FROM w ORDER BY score DESC, y0, x0 LIMIT 1)"""
+
+
+def _window(value: str, agg: str) -> str:
+    return f"{_windows(value, agg, 12)} SELECT CAST(y0 AS INT) AS y0, CAST(x0 AS INT) AS x0, CAST(win AS INT) AS win, round(score, 6) AS score FROM best"
+
+
+_TREES = "CASE WHEN h >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+#: 16 x 16 points of the window of most contrast, and the height at which they are clipped.
+_POINTS = f"""{_windows(_TREES, "stddev_pop", 40)}, ix AS (SELECT i, CAST(floor(i * (win - 1) / 15) AS INT) AS p, y0, x0 FROM range(16) t(i), best),
+s AS (SELECT a.i AS gy, b.i AS gx, coalesce(h, 0) AS h FROM ix a, ix b JOIN chm ON chm.c = b.p + b.x0 WHERE chm.r = a.p + a.y0),
+q AS (SELECT coalesce(quantile_cont(h, 0.99) FILTER (WHERE h > 0), 1) AS hi FROM s)"""
+
+
+#: The whole clean-up: buildings, greenness, opening, small components, roofs.
+_CLEANED = f"""{_D}, {_BOXES}, bb AS (SELECT DISTINCT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM boxes, range(2000) e(r), range(50) f(c) WHERE power(greatest(0, x0 - c - 1, c - x1), 2) + power(greatest(0, y0 - (40 - r), 39 - r - y1), 2) <= 1),
+p0 AS (SELECT chm.r, chm.c, exg, coalesce(h >= 2, false) AS raw, bb.r IS NOT NULL AS building, coalesce(exg, -1) >= -0.2 AS green FROM chm LEFT JOIN bb ON bb.r = chm.r AND bb.c = chm.c),
+tall AS (SELECT r, c FROM p0 WHERE raw AND NOT building AND green), {_open('tall', 'op')}, {_label('op', 'lb')},
+big AS (SELECT * FROM lb WHERE comp IN (SELECT comp FROM lb GROUP BY comp HAVING count(*) >= 4)),
+fin AS (SELECT r, c FROM big WHERE comp NOT IN (SELECT comp FROM big JOIN chm USING (r, c) GROUP BY comp HAVING count(*) >= 12 AND median(coalesce(exg, -1)) < 0.02)),
+cl AS (SELECT p0.r, p0.c, raw, building, fin.r IS NOT NULL AS final FROM p0 LEFT JOIN fin ON fin.r = p0.r AND fin.c = p0.c)"""
+
+
+def _on_cleaned(sql: str) -> str:
+    """The SQL of an audit on the cleaned mask in place of the raw one without buildings."""
+    rows = "coalesce(h >= 2, false) AS raw, r % 11 < 4 AND c % 13 < 5 AS building FROM "
+    for src in ("pt", "chm"):
+        sql = sql.replace(rows + src, f"raw, building, final FROM {src} JOIN cl USING (r, c)")
+    head = f"WITH {V.CHM}, {_DIM}"
+    return sql.replace(_NO_BUILDING, "final").replace(head, f"WITH RECURSIVE {V.CHM}, {_DIM}, {_CLEANED}")
 
 
 QUERIES = {
@@ -344,11 +383,14 @@ QUERIES = {
     "bridge_report": (bridge_report, f"""WITH {V.LABELLED}, {V.CHM}, {_FINE}, {_maj(2, 0.5)}, ab AS (SELECT site, {_COL('maj.cls')} AS a, {_COL('lab.cls')} AS b FROM lab JOIN maj ON lab.y = maj.cr AND lab.x = maj.cc WHERE year = 1998), {_AGREE}
         SELECT ag.site, round(coalesce(same, 0) / n, 6) AS overall, round((SELECT avg(iou) FROM iou WHERE iou.site = ag.site), 6) AS mean_iou, CAST(n AS BIGINT) AS n FROM ag"""),
     "best_window": (best_window, _window("coalesce(exg, -9)", "avg")),
-    "contrast_window": (contrast_window, _window("CASE WHEN h >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "stddev_pop")),
-    "heightmap": (heightmap, f"""WITH {V.CHM}, ix AS (SELECT i, CAST(floor(i * 39 / 15) AS INT) AS p FROM range(16) t(i)), s AS (SELECT a.i AS gy, b.i AS gx, coalesce(h, 0) AS h FROM ix a, ix b JOIN chm ON chm.c = b.p WHERE chm.r = a.p),
-        q AS (SELECT coalesce(quantile_cont(h, 0.99) FILTER (WHERE h > 0), 1) AS hi FROM s) SELECT CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(least(greatest(h, 0), hi), 2) AS z, least(greatest(h, 0), hi) >= 3 AS canopy FROM s, q"""),
-    "heightmap_summary": (heightmap_summary, f"""WITH {V.CHM}, ix AS (SELECT i, CAST(floor(i * 39 / 15) AS INT) AS p FROM range(16) t(i)), s AS (SELECT coalesce(h, 0) AS h FROM ix a, ix b JOIN chm ON chm.c = b.p WHERE chm.r = a.p),
-        q AS (SELECT coalesce(quantile_cont(h, 0.99) FILTER (WHERE h > 0), 1) AS hi FROM s) SELECT round(min(least(greatest(h, 0), hi)), 2) AS zmin, round(max(least(greatest(h, 0), hi)), 2) AS zmax, round(avg(CASE WHEN least(greatest(h, 0), hi) >= 3 THEN 1.0 ELSE 0.0 END), 2) AS canopy_fraction, count(*) AS n FROM s, q"""),
+    "contrast_window": (contrast_window, _window(_TREES, "stddev_pop")),
+    "heightmap": (heightmap, f"{_POINTS} SELECT CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, round(least(greatest(h, 0), hi), 2) AS z, least(greatest(h, 0), hi) >= 3 AS canopy FROM s, q"),
+    "heightmap_summary": (heightmap_summary, f"""{_POINTS} SELECT round(min(least(greatest(h, 0), hi)), 2) AS zmin, round(max(least(greatest(h, 0), hi)), 2) AS zmax,
+        round(avg(CASE WHEN least(greatest(h, 0), hi) >= 3 THEN 1.0 ELSE 0.0 END), 2) AS canopy_fraction, count(*) AS n FROM s, q"""),
     "decimate": (decimate, f"WITH {V.CHM}, {_DIM} SELECT r, c, red, green, blue FROM chm, dim WHERE r % (greatest(mr + 1, mc + 1) // 10) = 0 AND c % (greatest(mr + 1, mc + 1) // 10) = 0"),
     "crop_bbox": (crop_bbox, f"WITH {V.CHM} SELECT r, c FROM chm WHERE c >= 10 AND c < 21 AND r >= 20 AND r < 35"),
 }
+QUERIES |= {
+    f"{name}_final": (lambda spark, sf, query=query: query(spark, sf, _final_planes), _on_cleaned(QUERIES[name][1]))
+    for name, query in {"tile_label_stats": tile_label_stats, "slope_bin_summary": slope_bin_summary, "city_audit_summary": city_audit_summary}.items()
+}

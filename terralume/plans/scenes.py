@@ -44,6 +44,10 @@ def _composite_sql(unit):
     return f"WITH {V.composite_sql(unit)} SELECT site, y, x, CAST(period_start AS DATE) AS period, {', '.join(V.BANDS)} FROM comp"
 
 
+_SCENES = """sc AS (SELECT o_orderkey FROM orders WHERE CAST(floor(o_totalprice) AS BIGINT) % 100 < 40 AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31'
+  AND o_custkey % 360 - 178 >= -180 AND o_custkey % 360 - 180 <= 155 AND o_orderkey % 170 - 83 >= -80 AND o_orderkey % 170 - 85 <= 80)"""
+
+
 def composite_dense_calendar(spark, sf):
     ev = V.ev_obs(spark, sf).filter(F.col("event_type") == "purchase").select(F.col("pixel"), "ts", F.col("value").alias("v"))
     some = ev.withColumn("ts", F.to_timestamp(F.date_trunc("day", "ts") + F.expr("make_interval(cast(pixel % 9 as int))")))
@@ -53,11 +57,21 @@ def composite_dense_calendar(spark, sf):
 
 
 def catalog_search(spark, sf):
+    return temporal.search_scenes(_catalog(spark, sf), (100.0, -45.0, 155.0, -10.0), "1996-01-01", "1998-12-31").select("scene_id", "cloud_cover", "west", "south")
+
+
+def _catalog(spark, sf):
     o = V.read(spark, sf, "orders")
-    west = (F.col("o_custkey") % 360 - 180).cast("double")
-    south = (F.col("o_orderkey") % 170 - 85).cast("double")
-    cat = o.select(F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").alias("ts"), (F.floor("o_totalprice") % 100).cast("double").alias("cloud_cover"), west.alias("west"), south.alias("south"), (west + 2).alias("east"), (south + 2).alias("north"))
-    return temporal.search_scenes(cat, (100.0, -45.0, 155.0, -10.0), "1996-01-01", "1998-12-31").select("scene_id", "cloud_cover", "west", "south")
+    west, south = (F.col("o_custkey") % 360 - 180).cast("double"), (F.col("o_orderkey") % 170 - 85).cast("double")
+    cloud = (F.floor("o_totalprice") % 100).cast("double").alias("cloud_cover")
+    return o.select(F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").alias("ts"), cloud, west.alias("west"), south.alias("south"), (west + 2).alias("east"), (south + 2).alias("north"))
+
+
+def fetch_composite(spark, sf):
+    """The whole chain: search, load, harmonise, mask, annual medians."""
+    obs = V.px_obs(spark, sf, scene=True)
+    got = temporal.fetch(obs, _catalog(spark, sf), (-180.0, -80.0, 155.0, 80.0), "1995-01-01", "1998-12-31", bands=(*V.BANDS, "scl"), max_cloud=40.0, cutoff=V.CUTOFF, offset=V.OFFSET)
+    return got.select("site", "y", "x", F.to_date("period_start").alias("period"), *V.BANDS)
 
 
 def solar_day_mosaic(spark, sf):
@@ -217,6 +231,7 @@ QUERIES = {
         SELECT p.pixel, spine.period, round(m.v, 6) AS v FROM (SELECT DISTINCT pixel FROM m) p CROSS JOIN spine LEFT JOIN m ON m.pixel = p.pixel AND m.period = spine.period"""),
     "catalog_search": (catalog_search, """WITH c AS (SELECT o_orderkey AS scene_id, o_orderdate AS ts, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) AS cloud_cover, CAST(o_custkey % 360 - 180 AS DOUBLE) AS west, CAST(o_orderkey % 170 - 85 AS DOUBLE) AS south FROM orders)
         SELECT scene_id, cloud_cover, west, south FROM c WHERE cloud_cover < 20 AND ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' AND west + 2 >= 100 AND west <= 155 AND south + 2 >= -45 AND south <= -10"""),
+    "fetch_composite": (fetch_composite, _composite_sql("year").replace("WITH ", f"WITH {_SCENES}, ", 1).replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM sc))", 1)),
     "solar_day_mosaic": (solar_day_mosaic, """WITH e AS (SELECT user_id AS pixel, CAST(user_id % 360 - 180 AS DOUBLE) AS lon, ts, min(CASE WHEN event_type <> 'click' THEN value END) AS v FROM events GROUP BY ALL),
         d AS (SELECT pixel, ts, v, CAST(make_timestamp(CAST(epoch_us(ts) + lon * 240000000 AS BIGINT)) AS DATE) AS solar_day FROM e)
         SELECT pixel, solar_day, round(arg_min(v, ts) FILTER (WHERE v IS NOT NULL), 6) AS v FROM d GROUP BY ALL"""),

@@ -23,12 +23,13 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
-def px_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each pixel observation: site, y, x, ts, scl and bands."""
+def px_obs(spark: SparkSession, sf_dir: str, scene: bool = False) -> DataFrame:
+    """One row for each pixel observation: site, y, x, ts, scl and bands; with ``scene`` its scene_id too."""
     t = read(spark, sf_dir, "lineitem")
     d = lambda c: c.cast("double")
+    ids = [F.col("l_orderkey").alias("scene_id")] if scene else []
     return t.select(
-        F.col("l_returnflag").alias("site"), (F.col("l_partkey") % 24).cast("int").alias("y"), (F.col("l_suppkey") % 24).cast("int").alias("x"),
+        *ids, F.col("l_returnflag").alias("site"), (F.col("l_partkey") % 24).cast("int").alias("y"), (F.col("l_suppkey") % 24).cast("int").alias("x"),
         F.col("l_shipdate").alias("ts"), F.col("l_linenumber").alias("scl"),
         d(500 + F.floor(F.col("l_quantity") * 80)).alias("b08"), d(300 + F.col("l_orderkey") % 2000).alias("b04"),
         d(300 + F.floor(F.col("l_tax") * 20000)).alias("b03"), d(300 + F.floor(F.col("l_discount") * 15000)).alias("b02"),

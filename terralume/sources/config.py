@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
 
@@ -12,25 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 HERE = Path(__file__).resolve().parent
 
 
-@dataclass(frozen=True)
-class Aoi:
-    name: str
-    track: str
-    label: str
-    bbox: tuple[float, float, float, float]
-    crs: str = "EPSG:4326"
-    city: str | None = None
-    raw: dict = field(default_factory=dict, compare=False)
-
-    @property
-    def mineral(self) -> str:
-        return self.raw.get("mineral", "")
-
-
-@dataclass(frozen=True)
-class City:
-    key: str
-    raw: dict = field(compare=False)
+#: Columns of the table of areas; what a file leaves out is null.
+AREA_COLUMNS = {"name": "string", "track": "string", "label": "string", "west": "double", "south": "double", "east": "double", "north": "double", "crs": "string", "city": "string", "mineral": "string", "note": "string"}
 
 
 @dataclass(frozen=True)
@@ -49,31 +32,29 @@ def _read(path: str | Path) -> dict:
         return yaml.safe_load(f) or {}
 
 
-def load_aois(path: str | Path = HERE / "aois.yaml") -> dict[str, Aoi]:
-    return {
-        name: Aoi(name, x["track"], x["label"], tuple(map(float, x["bbox"])), x.get("crs", "EPSG:4326"), x.get("city"), x)
-        for name, x in _read(path)["aois"].items()
-    }
+def _named(entries: dict, name: str, what: str):
+    if name not in entries:
+        raise KeyError(f"no {what} {name!r}; there are {sorted(entries)}")
+    return entries[name]
 
 
-def get_aoi(name: str, path: str | Path = HERE / "aois.yaml") -> Aoi:
-    """By exact name."""
-    found = load_aois(path)
-    if name not in found:
-        raise KeyError(f"no area {name!r}; there are {sorted(found)}")
-    return found[name]
+def area_records(path: str | Path = HERE / "aois.yaml") -> list[dict]:
+    """One record an area, keys as in ``AREA_COLUMNS``, in the file's order."""
+    out = []
+    for name, entry in _read(path)["aois"].items():
+        edges = dict(zip(("west", "south", "east", "north"), map(float, entry["bbox"]), strict=True))
+        out.append({k: ({"name": name, "crs": "EPSG:4326"} | entry | edges).get(k) for k in AREA_COLUMNS})
+    return out
 
 
-def load_cities(path: str | Path) -> dict[str, City]:
-    return {k.lower(): City(k.lower(), v) for k, v in _read(path)["cities"].items()}
+def area(name: str, path: str | Path = HERE / "aois.yaml") -> dict:
+    """One record, by exact name."""
+    return _named({r["name"]: r for r in area_records(path)}, name, "area")
 
 
-def get_city(name: str, path: str | Path) -> City:
-    """By name in any case."""
-    found = load_cities(path)
-    if name.lower() not in found:
-        raise KeyError(f"no city {name!r}; there are {sorted(found)}")
-    return found[name.lower()]
+def city(name: str, path: str | Path) -> dict:
+    """A city's settings as written, by name in any case."""
+    return _named({k.lower(): v for k, v in _read(path)["cities"].items()}, name.lower(), "city")
 
 
 def load_data_sources(path: str | Path) -> dict:
@@ -94,5 +75,6 @@ def layer_dir(root: str, layer: str, city: str | None = None) -> str:
 
 
 def aoi_dim(spark: SparkSession, path: str | Path = HERE / "aois.yaml") -> DataFrame:
-    rows = [(a.name, a.track, a.label, *a.bbox, a.city, a.mineral) for a in load_aois(path).values()]
-    return spark.createDataFrame(rows, "name string, track string, label string, west double, south double, east double, north double, city string, mineral string")
+    """The areas as a table with every column of ``AREA_COLUMNS``."""
+    rows = [tuple(r.values()) for r in area_records(path)]
+    return spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in AREA_COLUMNS.items()))

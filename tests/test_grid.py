@@ -199,3 +199,22 @@ def test_components_of_edges(spark, monkeypatch, held):
     got = C.components(frame, Scratch(spark)).collect()
     assert len(got) == len(up) and {r.node: r.root for r in got} == {x: top(x) for x in up}
     assert C.components(frame.limit(0), Scratch(spark)).count() == 0
+
+
+def test_transverse_mercator(spark):
+    from terralume.functions import indices as I
+
+    # Published grid positions, to the metre.
+    known = [(32617, -79.387139, 43.642567, 630084.0, 4833438.0), (2193, 173.0, 0.0, 1600000.0, 10000000.0), (32733, 15.0, 0.0, 500000.0, 10000000.0)]
+    for epsg, lon, lat, east, north in known:
+        df = spark.createDataFrame([(lon, lat)], "lon double, lat double")
+        e, n = I.transverse_mercator("lon", "lat", epsg)
+        r = df.select(e.alias("e"), n.alias("n")).first()
+        assert (r.e, r.n) == pytest.approx((east, north), abs=1.0)
+    df = spark.range(400).select((166 + F.col("id") % 20 * 0.7).alias("lon"), (-48 + F.col("id") / 28).alias("lat"))
+    e, n = I.transverse_mercator("lon", "lat", 2193)
+    lon, lat = I.transverse_mercator_inverse("e", "n", 2193)
+    back = df.select("lon", "lat", e.alias("e"), n.alias("n")).select("lon", "lat", lon.alias("lon2"), lat.alias("lat2"))
+    assert back.filter((F.abs(F.col("lon") - F.col("lon2")) > 1e-9) | (F.abs(F.col("lat") - F.col("lat2")) > 1e-9)).count() == 0
+    with pytest.raises(ValueError, match="EPSG"):
+        I.transverse_zone(4326)

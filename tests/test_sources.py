@@ -9,25 +9,46 @@ from terralume.sources import config, rasters, sinks
 from terralume.streaming import replay
 
 
-def test_areas():
-    aois = config.load_aois()
-    assert len(aois) == 5 and sum(a.track == "satellite" for a in aois.values()) == 4
-    for a in aois.values():
-        w, s, e, n = a.bbox
-        assert w < e and s < n
-    bridge = [a for a in aois.values() if a.track == "bridge"]
-    assert [a.city for a in bridge] == ["tauranga"]
+# Published labels and centroids of the areas.
+SITES = {
+    "alcoa_huntly": ("Alcoa Huntly bauxite rehab (WA, jarrah forest)", 116.115, -32.56),
+    "ranger": ("Ranger uranium mine rehab (NT, Kakadu enclave)", 132.93, -12.68),
+    "mt_owen": ("Mt Owen / Ravensworth coal rehab (NSW, Hunter Valley)", 151.115, -32.41),
+    "iluka_eneabba": ("Iluka Eneabba mineral sands rehab (WA)", 115.3, -29.8),
+    "tauranga_bridge": ("Tauranga (NZ) — co-located LINZ aerial + 1m LiDAR + Sentinel-2", 176.17, -37.7),
+}
+
+
+def test_areas(spark):
+    rows = config.aoi_dim(spark).collect()
+    assert {r.name: r.label for r in rows} == {k: v[0] for k, v in SITES.items()}
+    for r in rows:
+        assert ((r.west + r.east) / 2, (r.south + r.north) / 2) == pytest.approx(SITES[r.name][1:], abs=1e-4)
+        assert r.west < r.east and r.south < r.north and r.crs == "EPSG:4326" and r.note
+    assert {r.track: r.city for r in rows} == {"satellite": None, "bridge": "tauranga"}
+    assert config.area("ranger")["mineral"] == "uranium"
     with pytest.raises(KeyError, match="ranger"):
-        config.get_aoi("Ranger")
+        config.area("Ranger")
     assert config.load_processing().tile_size_m == pytest.approx(153.6)
 
 
 def test_cities(tmp_path):
     p = tmp_path / "cities.yaml"
     p.write_text("cities:\n  Tauranga: {crs: 'EPSG:2193'}\n")
-    assert config.get_city("TAURANGA", p).raw["crs"] == "EPSG:2193"
+    assert config.city("TAURANGA", p) == {"crs": "EPSG:2193"}
     with pytest.raises(KeyError, match="tauranga"):
-        config.get_city("oslo", p)
+        config.city("oslo", p)
+
+
+def test_layer_folder():
+    assert config.layer_dir("s3://data/", "dsm", "Tauranga") == "s3://data/dsm/tauranga" and config.layer_dir("/d", "cover") == "/d/cover"
+
+
+def test_slope_report():
+    bin_ = lambda name, raw, final: dict(slope_bin=name, tile_count=2, mean_raw_canopy_pct=raw, mean_final_canopy_pct=final)
+    told = sinks.slope_report("c", [bin_("flat", 20.0, 10.0), bin_("gentle", 22.0, 11.0), bin_("steep", 80.0, 79.0)])
+    assert told.split("## To look at")[1].split() == ["-", "steep"] and "- gentle: 11.00" in told
+    assert sinks.slope_report("c", [bin_("flat", 1.0, 1.0)]).split("## To look at")[1].split() == ["-", "none"]
 
 
 def test_mosaic_first_file_wins(spark, tmp_path):
@@ -64,7 +85,6 @@ def test_sinks(spark, tmp_path):
     assert doc["per_site"]["a"]["kappa"] == 0.5 and doc["pooled"]["n_pixels"] == 12
     (tmp_path / "x.json").write_text("{}")
     assert sinks.bundle({"x.json": str(tmp_path / "x.json"), "y.json": str(tmp_path / "no")}, tmp_path / "out") == {"x.json": True, "y.json": False}
-    assert "steep" not in sinks.slope_report("c", [dict(slope_bin="flat", tile_count=1, mean_raw_canopy_pct=1.0, mean_final_canopy_pct=1.0, total_removed_area_m2=0.0)]).split("No")[0]
     assert "weak labels" in sinks.tile_report("c", {"tiles": 3.0}, {"crs": "x"})
     t = spark.createDataFrame([("2020-01-01", "0.5", "0.1")], "time string, mean_ndvi string, veg_cover_frac string")
     assert tuple(rasters.trajectory_records(t).first()) == (2020, 0.5, 0.1, None)
