@@ -49,7 +49,7 @@ GRAM = 64
 PICK = LENGTH - GRAM + 1
 SLICE = 1 << 20
 CHUNK = 1 << 20
-HOT = 20_000
+HOT = 2_000
 #: Spans that are sorted together.
 GROUP_SPANS = 8_000
 #: Bytes of a digit.
@@ -246,7 +246,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield work(held)
 
 
-def _hot_runs(spans: DataFrame) -> DataFrame:
+def _hot_runs(spans: DataFrame, scratch: Scratch) -> DataFrame:
     """The same for picks with very many spans: a row for each window, grouped by Spark."""
     schema = pa.schema([("key", pa.binary()), ("uid", pa.int64()), ("size", pa.int64()), ("lo", pa.int64())])
 
@@ -263,7 +263,7 @@ def _hot_runs(spans: DataFrame) -> DataFrame:
 
     rows = map_batches(spans, make, "key binary, uid long, size long, lo long").withColumn("occ", F.xxhash64("uid", "size", "lo"))
     many = rows.groupBy("key").agg(F.min("occ").alias("a"), F.max("occ").alias("b")).filter("a <> b").select("key")
-    return rows.join(many, "key", "left_semi").select("uid", "size", "lo", F.lit(1).cast("long").alias("n"))
+    return rows.join(small_side(scratch.put(many), 32), "key", "left_semi").select("uid", "size", "lo", F.lit(1).cast("long").alias("n"))
 
 
 def repeated_runs(rows: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
@@ -322,7 +322,7 @@ def repeated_runs(rows: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFram
     cold = gathered.filter("NOT hot").drop("hot").repartition(n, "pick").sortWithinPartitions("pick").mapInArrow(_sorted_groups, "uid long, size long, lo long, n long")
     runs = told.filter("twice").select("uid", "size", "lo", "n").unionByName(cold)
     if not gathered.filter("hot").isEmpty():
-        runs = runs.unionByName(_hot_runs(gathered.filter("hot").drop("hot")))
+        runs = runs.unionByName(_hot_runs(gathered.filter("hot").drop("hot"), scratch))
     out = scratch.put(runs.groupBy("uid", "size").agg(F.collect_list(F.col("lo") * 256 + F.col("n")).alias("runs")))
     scratch.keep(out)
     return out
