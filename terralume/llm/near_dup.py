@@ -345,14 +345,19 @@ def _places(sketch: DataFrame, shared: DataFrame, units: DataFrame, scratch: Scr
     return plain(whole.join(by_band, "root", "left_anti")).unionByName(banded)
 
 
-def _found(rows: DataFrame, sketch: DataFrame, scratch: Scratch, all_pairs: bool) -> DataFrame:
-    """What the jobs return: links between representatives that may be similar."""
-    n = partitions(rows.sparkSession)
+def _candidates(sketch: DataFrame, scratch: Scratch) -> DataFrame:
+    """The representatives that share a band with another, and their places in jobs."""
     held = sketch.select("uid", F.explode("bands").alias("band"))
     shared = held.groupBy("band").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).filter("low <> high").select("band", "low")
     shared = small_side(scratch.put(shared), 24)
     near = held.join(shared, "band").filter("uid <> low").select(F.col("uid").alias("a"), F.col("low").alias("b"))
-    places = scratch.put(_places(sketch, shared, components(near, scratch), scratch))
+    return scratch.put(_places(sketch, shared, components(near, scratch), scratch))
+
+
+def _found(rows: DataFrame, sketch: DataFrame, scratch: Scratch, all_pairs: bool) -> DataFrame:
+    """What the jobs return: links between representatives that may be similar."""
+    n = partitions(rows.sparkSession)
+    places = _candidates(sketch, scratch)
     picked = small_side(places, F.size("places") * 24 + 48).withColumnRenamed("text_hash", "pick_hash")
     texts = rows.join(picked, (rows.text_hash == picked.pick_hash) & rows.doc_id.eqNullSafe(picked.pick_id))
     loaded = _loaded(texts.select("uid", "places", "text"))

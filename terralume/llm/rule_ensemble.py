@@ -205,7 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = with_statistics(texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"))  # at most `sample` ids
-    rows = got.join(F.broadcast(chosen), "doc_id").select("y", *STATISTICS).limit(2 * sample).toPandas()
+    rows = got.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", *STATISTICS).distinct()
+    # a doc_id may stand for several texts: the bound holds, and the same rows are taken each time
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *STATISTICS).limit(2 * sample).drop("doc_id").toPandas()
     rows = rows.sort_values(list(rows.columns)).to_numpy(float)
     return fit(rows[:, 1:], rows[:, 0]) if len(rows) else fit(np.empty((0, len(STATISTICS))), np.empty(0))
 
