@@ -16,7 +16,9 @@ generations of ``CACHE`` entries of at most ``CACHE_CHARS`` characters): memory
 The vocabulary file's path is a parameter.  The driver reads it and sends its text (under 2 MB for
 50,000 tokens) to the executors, which need no file.
 
-Defined results: a null text counts as empty (no tokens); special tokens' strings inside a text are
+Defined results: a null text counts as empty (no tokens), an empty table gives an empty result; a very
+long text is encoded whole, in memory that grows with it; repeated rows are encoded alike; other
+columns, whatever their names, are ignored; special tokens' strings inside a text are
 found before normalising and give that token, as the library does by default; a symbol the
 vocabulary lacks and that has no unknown token gives nothing.
 """

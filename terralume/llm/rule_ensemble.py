@@ -14,7 +14,9 @@ Rows whose crc32(doc_id as text) mod ``FOLDS`` is 0 are never learnt from.
 
 Defined results: null and empty texts have all statistics 0 and a score like any other text; rows
 without a label are scored too; without labelled rows every score is 0.5; with one class only, the
-smoothed share of that class.
+smoothed share of that class; an empty table gives an empty result; a very long text is read whole;
+repeated rows score alike; where a doc_id stands for several texts or labels, each distinct pair counts
+once; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
