@@ -208,13 +208,13 @@ def map_projection(spark, sf):
 
 
 def transverse_mercator(spark, sf):
-    """Customers dealt over New Zealand, to its grid and back."""
+    """Customers dealt along the central meridian of New Zealand's grid, to that grid and back."""
     c = V.read(spark, sf, "customer")
-    at = c.select("c_custkey", (166.5 + F.col("c_custkey") * 7 % 1200 / 100).cast("double").alias("lon"), (-47.5 + F.col("c_custkey") * 11 % 1300 / 100).cast("double").alias("lat"))
+    at = c.select("c_custkey", (171.8 + F.col("c_custkey") * 7 % 240 / 100).cast("double").alias("lon"), (-47.5 + F.col("c_custkey") * 11 % 1300 / 100).cast("double").alias("lat"))
     east, north = indices.transverse_mercator("lon", "lat", 2193)
     there = at.select("c_custkey", east.alias("e"), north.alias("n"))
     lon, lat = indices.transverse_mercator_inverse("e", "n", 2193)
-    return there.select("c_custkey", F.round("e", 2).alias("easting"), F.round("n", 2).alias("northing"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    return there.select("c_custkey", F.round("e", 1).alias("easting"), F.round("n", 1).alias("northing"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 def layer_mosaic(spark, sf):
@@ -294,14 +294,14 @@ QUERIES = {
         SELECT c_custkey, {_QK} AS quadkey FROM t"""),
     "site_centroids": (site_centroids, f"WITH {_aoi_values()} SELECT name, label, track, round((west + east) / 2, 4) AS lon, round((south + north) / 2, 4) AS lat, mineral FROM aoi"),
     "subwindow": (subwindow, f"WITH {_aoi_values()} SELECT name, round((west + east) / 2 - 1.5::DOUBLE / 88, 6) AS west, round((south + north) / 2 - 1.5::DOUBLE / 111, 6) AS south, round((west + east) / 2 + 1.5::DOUBLE / 88, 6) AS east, round((south + north) / 2 + 1.5::DOUBLE / 111, 6) AS north FROM aoi"),
-    # another series than the query's: powers of the longitude difference, by latitude
+    # another series than the query's: powers of the longitude difference, exact to nanometres this near the meridian
     "transverse_mercator": (transverse_mercator, """WITH k AS (SELECT 6378137.0::DOUBLE AS a, (2 - 1 / 298.257222101::DOUBLE) / 298.257222101::DOUBLE AS e2),
-        g AS (SELECT c_custkey, CAST(166.5 + CAST(c_custkey * 7 % 1200 AS DOUBLE) / 100 AS DOUBLE) AS lon, CAST(-47.5 + CAST(c_custkey * 11 % 1300 AS DOUBLE) / 100 AS DOUBLE) AS lat FROM customer),
+        g AS (SELECT c_custkey, CAST(171.8 + CAST(c_custkey * 7 % 240 AS DOUBLE) / 100 AS DOUBLE) AS lon, CAST(-47.5 + CAST(c_custkey * 11 % 1300 AS DOUBLE) / 100 AS DOUBLE) AS lat FROM customer),
         h AS (SELECT g.*, a, e2, e2 / (1 - e2) AS ep, radians(lat) AS p, radians(lon - 173) * cos(radians(lat)) AS w, power(tan(radians(lat)), 2) AS t, a / sqrt(1 - e2 * power(sin(radians(lat)), 2)) AS nu FROM g, k),
         m AS (SELECT *, ep * power(cos(p), 2) AS q, a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256 - 175 * e2 ** 4 / 16384) * p - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024 + 105 * e2 ** 4 / 4096) * sin(2 * p)
             + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024 + 525 * e2 ** 4 / 16384) * sin(4 * p) - (35 * e2 ** 3 / 3072 + 175 * e2 ** 4 / 12288) * sin(6 * p) + 315 * e2 ** 4 / 131072 * sin(8 * p)) AS arc FROM h)
-        SELECT c_custkey, round(1600000 + 0.9996 * nu * (w + (1 - t + q) * w ** 3 / 6 + (5 - 18 * t + t ** 2 + 14 * q - 58 * t * q + 13 * q ** 2 + 4 * q ** 3 - 64 * q ** 2 * t - 24 * q ** 3 * t) * w ** 5 / 120 + (61 - 479 * t + 179 * t ** 2 - t ** 3) * w ** 7 / 5040), 2) AS easting,
-            round(10000000 + 0.9996 * (arc + nu * tan(p) * (w ** 2 / 2 + (5 - t + 9 * q + 4 * q ** 2) * w ** 4 / 24 + (61 - 58 * t + t ** 2 + 270 * q - 330 * t * q + 445 * q ** 2 + 324 * q ** 3 - 680 * q ** 2 * t + 88 * q ** 4 - 600 * q ** 3 * t - 192 * q ** 4 * t) * w ** 6 / 720 + (1385 - 3111 * t + 543 * t ** 2 - t ** 3) * w ** 8 / 40320)), 2) AS northing,
+        SELECT c_custkey, round(1600000 + 0.9996 * nu * (w + (1 - t + q) * w ** 3 / 6 + (5 - 18 * t + t ** 2 + 14 * q - 58 * t * q + 13 * q ** 2 + 4 * q ** 3 - 64 * q ** 2 * t - 24 * q ** 3 * t) * w ** 5 / 120 + (61 - 479 * t + 179 * t ** 2 - t ** 3) * w ** 7 / 5040), 1) AS easting,
+            round(10000000 + 0.9996 * (arc + nu * tan(p) * (w ** 2 / 2 + (5 - t + 9 * q + 4 * q ** 2) * w ** 4 / 24 + (61 - 58 * t + t ** 2 + 270 * q - 330 * t * q + 445 * q ** 2 + 324 * q ** 3 - 680 * q ** 2 * t + 88 * q ** 4 - 600 * q ** 3 * t - 192 * q ** 4 * t) * w ** 6 / 720 + (1385 - 3111 * t + 543 * t ** 2 - t ** 3) * w ** 8 / 40320)), 1) AS northing,
             round(lon, 6) AS lon, round(lat, 6) AS lat FROM m"""),
     "map_projection": (map_projection, f"""WITH {_aoi_values()}, c AS (SELECT name, round((west + east) / 2, 4) AS lon, round((south + north) / 2, 4) AS lat FROM aoi WHERE track = 'satellite')
         SELECT name, array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS title, round((lon - 112) / 42 * 440, 6) AS px, round((-9 - lat) / 35 * 380, 6) AS py,
