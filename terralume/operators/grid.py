@@ -107,6 +107,22 @@ def grid_warnings(a: dict, b: dict, tol: float = 1e-3) -> list[str]:
     return out
 
 
+def grid_table(pixels: DataFrame, crs: str, left: float, top: float, res: float, row: str = "r", col: str = "c") -> DataFrame:
+    """One row: crs, rows, cols, left, top, res of a layer whose indices start at 0."""
+    size = pixels.agg((F.max(row) + 1).alias("rows"), (F.max(col) + 1).alias("cols"))
+    return size.select(F.lit(crs).alias("crs"), "rows", "cols", *[F.lit(float(v)).alias(k) for k, v in (("left", left), ("top", top), ("res", res))])
+
+
+def alignment(a: DataFrame, b: DataFrame, tol: float = 1e-3) -> DataFrame:
+    """One row: whether two grids (``grid_table``) lie on one another, and what keeps them from it."""
+    x, y = F.col("a"), F.col("b")
+    apart = [("crs", x["crs"] != y["crs"]), ("shape", (x["rows"] != y["rows"]) | (x["cols"] != y["cols"]))]
+    apart += [(k, F.abs(x[k] - y[k]) > tol) for k in ("left", "top", "res")]
+    told = F.filter(F.array(*[F.when(off, F.lit(name)) for name, off in apart]), lambda w: w.isNotNull())
+    both = a.select(F.struct("*").alias("a")).crossJoin(F.broadcast(b.select(F.struct("*").alias("b"))))  # one row each
+    return both.select((F.size(told) == 0).alias("aligned"), told.alias("warnings"))
+
+
 def require_crs(grid: dict, crs: str = "EPSG:2193") -> None:
     if grid["crs"] != crs:
         raise ValueError(f"grid is in {grid['crs']}, not {crs}")

@@ -265,7 +265,9 @@ QUERIES = {
     "kappa_site_pooled": (kappa_site_pooled, f"WITH {V.PAIRS}, kp AS (SELECT site, {_XW('a')} AS a, {_XW('b')} AS b FROM pairs), {_KAPPA} {_TOLD}"),
     "kappa_quality_toxic": (kappa_quality_toxic, f"WITH kp AS (SELECT 'all' AS site, quality + 1 AS a, toxic + 1 AS b FROM labels), {_KAPPA} SELECT kappa, overall, n FROM ({_TOLD}) WHERE site IS NULL"),
     "cover_crosswalk": (cover_crosswalk, f"WITH {V.PX}, k AS (SELECT CAST((y * 24 + x) % 11 * 10 AS INT) AS code FROM px) SELECT code, CAST(CASE WHEN code IN (10, 20, 30, 40, 90, 95, 100) THEN 1 WHEN code IN (50, 60, 70) THEN 2 WHEN code = 80 THEN 3 ELSE 0 END AS INT) AS common, count(*) AS n FROM k GROUP BY ALL"),
-    "validation_json": (validation_json, None),
+    "validation_json": (validation_json, f"""WITH {V.PAIRS}, kp AS (SELECT site, {_XW('a')} AS a, {_XW('b')} AS b FROM pairs), {_KAPPA},
+        d AS (SELECT site, '{{' || coalesce('"kappa":' || round((po - pe) / nullif(1 - pe, 0), 3) || ',', '') || '"overall_agreement":' || round(po, 3) || ',"n_pixels":' || CAST(n AS BIGINT) || '}}' AS doc FROM kk)
+        SELECT '{{"per_site":{{' || string_agg('"' || site || '":' || doc, ',' ORDER BY site) FILTER (WHERE site <> '*') || '}},"pooled":' || max(doc) FILTER (WHERE site = '*') || ',"reference":"land cover","scheme":"vegetation/bare/water"}}' AS json FROM d"""),
     "cover_validation": (cover_validation, f"""WITH {V.LABELLED}, kp AS (SELECT site, {_XW('cls')} AS a, CASE WHEN x % 5 = 0 THEN 1 WHEN cls = 1 THEN 2 WHEN cls = 2 THEN 3 ELSE 1 END AS b FROM lab WHERE year = 1998), {_KAPPA} {_TOLD}"""),
     "training_tiles": (training_tiles, f"""WITH {V.LABELLED}, t AS (SELECT *, CAST(y // 4 AS INT) AS row, CAST(x // 4 AS INT) AS col, CASE cls WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 6 THEN 2 WHEN 7 THEN 3 ELSE 255 END AS k FROM lab)
         SELECT printf('%s_%d_%03d_%03d', site, year, row, col) AS tile_id, row, col, CAST(48 AS INT) AS n_image, round(sum({' + '.join(f'CAST(CAST(least(greatest({b} / 10000, 0), 1) AS FLOAT) AS DOUBLE)' for b in ('b03', 'b04', 'b08'))}), 4) AS image_sum,

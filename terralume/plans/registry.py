@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import canopy, labels, scenes
+from . import canopy, labels, layers, scenes
 
-_ALL = scenes.QUERIES | canopy.QUERIES | labels.QUERIES
+_ALL = scenes.QUERIES | canopy.QUERIES | labels.QUERIES | layers.QUERIES
 
 
 def queries() -> dict:

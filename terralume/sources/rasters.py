@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.indices import canopy_height, height_in_range, no_data, quadkey
+from ..functions.indices import canopy_height, height_in_range, no_data, quadkey, transverse_mercator
 from ..operators.grid import require_crs
 
 
@@ -18,13 +18,11 @@ def mosaic(parts: DataFrame, keys: Sequence[str], order: str, values: Sequence[s
 
 
 def read_layer(spark: SparkSession, paths: Sequence[str], keys: Sequence[str] = ("r", "c"), values: Sequence[str] = ("value",)) -> DataFrame:
-    """Files in sorted order, the first that has a pixel wins; columns are pruned in the scan."""
-    parts = None
-    for i, p in enumerate(sorted(paths)):
-        df = spark.read.parquet(p).select(*keys, *values).withColumn("_file", F.lit(i))
-        parts = df if parts is None else parts.unionByName(df)
-    if parts is None:
+    """Files in sorted order, the first that has a pixel wins; one scan, whatever the number of files."""
+    if not paths:
         raise FileNotFoundError("a layer without files")
+    place = F.translate("_metadata.file_path", "/", "\x01")  # a folder's files come before longer names
+    parts = spark.read.parquet(*paths).select(*keys, *values, place.alias("_file"))
     return mosaic(parts, keys, "_file", values)
 
 
@@ -52,6 +50,13 @@ def buildings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.parquet(sorted(paths)[0])
 
 
+def reprojected(boxes: DataFrame, epsg: int) -> DataFrame:
+    """Boxes x0, y0, x1, y1 from degrees to a transverse grid: the box around the four corners."""
+    corners = [transverse_mercator(x, y, epsg) for x in ("x0", "x1") for y in ("y0", "y1")]
+    east, north = [c[0] for c in corners], [c[1] for c in corners]
+    return boxes.withColumns({"x0": F.least(*east), "y0": F.least(*north), "x1": F.greatest(*east), "y1": F.greatest(*north)})
+
+
 def global_heights(layer: DataFrame, lon: float, lat: float, zoom: int = 9, most: float = 120.0) -> DataFrame:
     """Canopy heights of the tile around a place; heights out of range are NULL.
 
@@ -66,9 +71,11 @@ def window(pixels: DataFrame, row0: int, row1: int, col0: int, col1: int, row: s
 
 
 def training_tiles(tiles: DataFrame, manifest: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Tiles of the manifest, of ``ids`` only if given (tile_id, image, mask)."""
-    chosen = manifest.join(ids, "tile_id", "left_semi") if ids is not None else manifest
-    return tiles.join(chosen.select("tile_id"), "tile_id", "left_semi")
+    """Tiles (tile_id, image, mask) of the manifest (``sinks.manifest``), of ``ids`` (tile_id) only if given."""
+    chosen = manifest.select(F.col("id").alias("tile_id"))
+    if ids is not None:
+        chosen = chosen.join(ids, "tile_id", "left_semi")
+    return tiles.join(chosen, "tile_id", "left_semi")
 
 
 def trajectory_records(csv: DataFrame) -> DataFrame:

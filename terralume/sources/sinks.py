@@ -39,9 +39,9 @@ def manifest(tiles: DataFrame) -> DataFrame:
 
 
 def validation_json(kappa: DataFrame, reference: str, scheme: str = "vegetation/bare/water") -> DataFrame:
-    """One row, one JSON document: per_site and pooled; 3 decimals."""
+    """One row, one JSON document: per_site (in order of names) and pooled; 3 decimals."""
     told = F.struct(F.round("kappa", 3).alias("kappa"), F.round("overall", 3).alias("overall_agreement"), F.col("n").alias("n_pixels"))
-    sites = F.map_from_entries(F.collect_list(F.when(F.col("site").isNotNull(), F.struct(F.col("site"), told))))
+    sites = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("site").isNotNull(), F.struct(F.col("site"), told)))))
     pooled = F.first(F.when(F.col("site").isNull(), told), ignorenulls=True)
     doc = kappa.agg(sites.alias("per_site"), pooled.alias("pooled"))
     return doc.select(F.to_json(F.struct("per_site", "pooled", F.lit(reference).alias("reference"), F.lit(scheme).alias("scheme"))).alias("json"))
