@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 from .components import components
+from .quantiles import quantiles
 
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
 #: Side of the squares whose components are labelled in one task.
@@ -102,8 +103,9 @@ def clean(mask: DataFrame, height: int, width: int, min_area: int, iterations: i
 
 def suppress_low_green(labelled: DataFrame, green: DataFrame, threshold: float = 0.04, min_area: int = 40) -> DataFrame:
     """Without components that are large and whose median greenness is low (missing greenness is -1)."""
-    seen = labelled.join(green.select("r", "c", "exg"), ["r", "c"], "left").withColumn("exg", F.coalesce("exg", F.lit(-1.0)))
-    roofs = seen.groupBy("comp").agg(F.count(F.lit(1)).alias("area"), F.median("exg").alias("mid")).filter((F.col("area") >= min_area) & (F.col("mid") < threshold))
+    large = labelled.groupBy("comp").agg(F.count(F.lit(1)).alias("area")).filter(F.col("area") >= min_area).select("comp")
+    seen = labelled.join(large, "comp", "left_semi").join(green.select("r", "c", "exg"), ["r", "c"], "left").select("comp", F.coalesce("exg", F.lit(-1.0)).alias("exg"))
+    roofs = quantiles(seen, "exg", {"mid": 0.5}, ["comp"]).filter(F.col("mid") < threshold)
     return labelled.join(roofs.select("comp"), "comp", "left_anti")
 
 

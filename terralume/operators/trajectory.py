@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indices import recovery_fraction
+from .quantiles import quantiles
 from .temporal import edge_period
 
 
@@ -34,8 +35,8 @@ def range_anchors(series: DataFrame, high: float = 0.95) -> DataFrame:
 def first_year_anchors(series: DataFrame, composite: DataFrame, high: float = 0.90) -> DataFrame:
     """bare: the first period's mean; reference: a high quantile over all pixels of the last period."""
     bare = edge_period(series, ["site"]).select("site", F.col("mean_ndvi").alias("bare"))
-    ref = edge_period(composite, ["site"], last=True).groupBy("site").agg(F.percentile("ndvi", F.lit(high)).alias("reference"))
-    return bare.join(ref, "site")
+    ref = quantiles(edge_period(composite, ["site"], last=True), "ndvi", {"reference": high}, ["site"])
+    return bare.join(ref, "site", "left")
 
 
 def with_recovery(series: DataFrame, anchors: DataFrame, clip: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, indices
 from ..operators import metrics, temporal, trajectory
+from ..operators.quantiles import quantiles
 from ..sources.scratch import Scratch
 from . import views as V
 from .views import r6
@@ -162,8 +163,10 @@ def ndvi_gain(spark, sf):
 
 def rgb_stretch(spark, sf):
     """2 and 98 per cent of each band over a year's composite, then 0 .. 255."""
-    comp = V.composite(spark, sf).filter(F.year("period_start") == 1997)
-    cut = comp.agg(*[F.percentile(b, F.array(F.lit(0.02), F.lit(0.98))).alias(f"q_{b}") for b in ("b02", "b03", "b04")])
+    comp = Scratch(spark).put(V.composite(spark, sf).filter(F.year("period_start") == 1997).select(*V.KEYS, "b02", "b03", "b04"))
+    long = comp.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in ("b02", "b03", "b04")])).alias("o")).select("o.*")
+    ends = quantiles(long, "v", {"low": 0.02, "high": 0.98}, ["band"])
+    cut = ends.agg(*[F.max(F.when(F.col("band") == b, F.array("low", "high"))).alias(f"q_{b}") for b in ("b02", "b03", "b04")])
     told = comp.crossJoin(F.broadcast(cut))  # one row
     return told.select(*V.KEYS, *[indices.stretch(b, F.col(f"q_{b}")[0], F.col(f"q_{b}")[1]).alias(n) for b, n in (("b04", "red"), ("b03", "green"), ("b02", "blue"))])
 
