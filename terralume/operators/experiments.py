@@ -9,18 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classes import IGNORE
 from .grid import keyed_order
 from .metrics import agreement, confusion, seed_summary
+from .ranks import placed
 
 
 def ranked(units: DataFrame, key: str, seed: int) -> DataFrame:
     """``units`` (one row a tile) with their place in the seed's order and their number."""
-    order = Window.orderBy(keyed_order(seed, F.col(key)), key)
-    return units.withColumns({"place": F.row_number().over(order) - 1, "n_units": F.count(F.lit(1)).over(Window.partitionBy())})
+    return placed(units, [keyed_order(seed, F.col(key)), F.col(key)]).withColumnRenamed("n_rows", "n_units")
 
 
 def validation_split(units: DataFrame, key: str, share: float = 0.2, seed: int = 0) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranks import placed
+
 TILE_M = 153.6
 BLOCK_M = 1000.0
 
@@ -38,12 +40,10 @@ def keyed_order(seed: int, key: Column) -> Column:
 def cv_split(tiles: DataFrame, ratios: Sequence[float] = (0.6, 0.2, 0.2), buffer_tiles: int = 1, seed: int = 42) -> DataFrame:
     """train, val and test by block; train tiles near a test tile become buffer.
 
-    The order of blocks is by keyed hash, which any engine can repeat.  Only the list of blocks passes
-    through one window; it has one row for about 42 tiles.
+    The order of blocks is by keyed hash, which any engine can repeat.
     """
-    blocks = tiles.select("block_id").distinct()
-    rank = F.row_number().over(Window.orderBy(keyed_order(seed, F.col("block_id")), "block_id")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
+    blocks = placed(tiles.select("block_id").distinct(), [keyed_order(seed, F.col("block_id")), F.col("block_id")])
+    rank, n = F.col("place"), F.col("n_rows")
     n_train, n_val = F.bround(n * F.lit(ratios[0])), F.bround(n * F.lit(ratios[1]))
     split = F.when(rank < n_train, "train").when(rank < n_train + n_val, "val").otherwise("test")
     dealt = tiles.join(blocks.select("block_id", split.alias("split")), "block_id")

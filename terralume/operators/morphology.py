@@ -11,38 +11,73 @@ from ..sources.scratch import Scratch
 from .components import components
 from .quantiles import quantiles
 
-CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
-#: Side of the squares whose components are labelled in one task.
+#: Side of the squares that one task works on.
 BLOCK = 512
 _SHIFT = 31
 
 
-def _spread(mask: DataFrame) -> DataFrame:
-    moves = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in CROSS])
-    return mask.select("r", "c", F.explode(moves).alias("m")).select((F.col("r") + F.col("m.dr")).alias("r"), (F.col("c") + F.col("m.dc")).alias("c"))
+def _squares(mask: DataFrame, halo: int = 0) -> DataFrame:
+    """r, c, br, bc: each pixel with its square and every square that it is within ``halo`` of."""
+    at = lambda k: F.sequence(F.floor((F.col(k) - halo) / BLOCK), F.floor((F.col(k) + halo) / BLOCK))
+    keyed = mask.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    if not halo:
+        return keyed.withColumns({"br": F.floor(F.col("r") / BLOCK), "bc": F.floor(F.col("c") / BLOCK)})
+    return keyed.withColumn("br", F.explode(at("r"))).withColumn("bc", F.explode(at("c")))
+
+
+def _reshaped(pdf: pd.DataFrame, block: int, shrink: int, grow: int, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(r, c) of one square's own pixels after ``shrink`` erosions and ``grow`` dilations.
+
+    The array holds the square, a halo as wide as the steps and a frame that stays unset: what is wrong at
+    the frame moves in by one pixel a step and does not reach the square.
+    """
+    halo = shrink + grow
+    r0, c0 = int(pdf["br"].iat[0]) * block - halo, int(pdf["bc"].iat[0]) * block - halo
+    side = block + 2 * halo
+    on = np.zeros((side + 2, side + 2), bool)
+    on[pdf["r"].to_numpy() - r0 + 1, pdf["c"].to_numpy() - c0 + 1] = True
+    mid, up, down, left, right = on[1:-1, 1:-1], on[:-2, 1:-1], on[2:, 1:-1], on[1:-1, :-2], on[1:-1, 2:]
+    for _ in range(shrink):
+        mid[:] = mid & up & down & left & right
+    inside = np.zeros((side, side), bool)
+    inside[max(0, -r0) : max(0, height - r0), max(0, -c0) : max(0, width - c0)] = True
+    for _ in range(grow):
+        mid[:] = (mid | up | down | left | right) & inside
+    r, c = np.nonzero(mid[halo : halo + block, halo : halo + block])
+    return r + r0 + halo, c + c0 + halo
+
+
+def _steps(mask: DataFrame, shrink: int, grow: int, height: int = 0, width: int = 0) -> DataFrame:
+    """One shuffle for all steps: a square and its halo are worked on in one task."""
+    block = BLOCK
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = _reshaped(pdf, block, shrink, grow, height, width)
+        return pd.DataFrame({"r": r, "c": c})
+
+    out = _squares(mask, shrink + grow).groupBy("br", "bc").applyInPandas(work, "r long, c long")
+    return out.select(*[F.col(k).cast(mask.schema[k].dataType).alias(k) for k in ("r", "c")])
 
 
 def erode(mask: DataFrame, iterations: int = 1) -> DataFrame:
     """Pixels whose four neighbours are all set; outside the grid counts as unset."""
-    for _ in range(iterations):
-        counted = _spread(mask).groupBy("r", "c").agg(F.count(F.lit(1)).alias("n"))
-        mask = counted.filter(F.col("n") == len(CROSS)).select("r", "c")
-    return mask
+    return _steps(mask, iterations, 0) if iterations else mask
 
 
 def dilate(mask: DataFrame, height: int, width: int, iterations: int = 1) -> DataFrame:
-    for _ in range(iterations):
-        mask = _spread(mask).filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)).distinct()
-    return mask
+    """Pixels of the grid that are set or have one of their four neighbours set."""
+    return _steps(mask, 0, iterations, height, width) if iterations else mask
 
 
 def opening(mask: DataFrame, height: int, width: int, iterations: int = 1) -> DataFrame:
-    return dilate(erode(mask, iterations), height, width, iterations) if iterations else mask
+    """Erosions, then as many dilations."""
+    return _steps(mask, iterations, iterations, height, width) if iterations else mask
 
 
-def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_block(r: np.ndarray, c: np.ndarray) -> pd.DataFrame:
     """The smallest pixel id of each pixel's component inside one square."""
-    r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+    if not len(r):
+        return pd.DataFrame({"r": r, "c": c, "local": np.empty(0, np.int64)})
     r0, c0 = r.min(), c.min()
     ids = (r.astype(np.int64) << _SHIFT) | c
     far = np.iinfo(np.int64).max
@@ -73,10 +108,18 @@ def label_components(mask: DataFrame) -> DataFrame:
     Squares are labelled alone; only pixels on their seams are joined, and only the labels that touch
     there go through the distributed components.
     """
-    scratch = Scratch(mask.sparkSession)
-    keyed = mask.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-    blocks = keyed.groupBy(F.floor(F.col("r") / BLOCK), F.floor(F.col("c") / BLOCK))
-    local = scratch.put(blocks.applyInPandas(_label_block, "r long, c long, local long"))
+    return opened_components(mask, 0, 0, 0)
+
+
+def opened_components(mask: DataFrame, height: int, width: int, iterations: int = 1) -> DataFrame:
+    """``label_components`` of the opening: squares are opened and labelled in one task, after one shuffle."""
+    scratch, block = Scratch(mask.sparkSession), BLOCK
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _label_block(*_reshaped(pdf, block, iterations, iterations, height, width))
+
+    squares = _squares(mask, 2 * iterations).groupBy("br", "bc")
+    local = scratch.put(squares.applyInPandas(work, "r long, c long, local long"))
     edge = lambda k, at: local.filter(F.col(k) % BLOCK == at)
     low, high = edge("r", BLOCK - 1).select((F.col("r") + 1).alias("r"), "c", F.col("local").alias("a")), edge("r", 0).select("r", "c", F.col("local").alias("b"))
     left, right = edge("c", BLOCK - 1).select("r", (F.col("c") + 1).alias("c"), F.col("local").alias("a")), edge("c", 0).select("r", "c", F.col("local").alias("b"))
@@ -97,8 +140,9 @@ def drop_small(labelled: DataFrame, min_area: int) -> DataFrame:
 
 def clean(mask: DataFrame, height: int, width: int, min_area: int, iterations: int = 1) -> DataFrame:
     """Opening, then removal of small components."""
-    opened = opening(mask, height, width, iterations)
-    return drop_small(label_components(opened), min_area).select("r", "c") if min_area > 1 else opened
+    if min_area <= 1:
+        return opening(mask, height, width, iterations)
+    return drop_small(opened_components(mask, height, width, iterations), min_area).select("r", "c")
 
 
 def suppress_low_green(labelled: DataFrame, green: DataFrame, threshold: float = 0.04, min_area: int = 40) -> DataFrame:

@@ -140,7 +140,7 @@ def opening(spark, sf):
 
 def components(spark, sf):
     h, w = V.dims(V.chm_px(spark, sf))
-    return morphology.label_components(morphology.opening(_tall(spark, sf), h, w)).groupBy("comp").agg(F.count(F.lit(1)).alias("area"))
+    return morphology.opened_components(_tall(spark, sf), h, w).groupBy("comp").agg(F.count(F.lit(1)).alias("area"))
 
 
 def drop_small(spark, sf):
@@ -151,7 +151,7 @@ def drop_small(spark, sf):
 def roof_suppression(spark, sf):
     px = V.chm_px(spark, sf)
     h, w = V.dims(px)
-    lab = morphology.label_components(morphology.opening(_tall(spark, sf), h, w))
+    lab = morphology.opened_components(_tall(spark, sf), h, w)
     return morphology.suppress_low_green(lab, px.select("r", "c", "exg"), 0.05, 8).select("r", "c")
 
 

@@ -27,8 +27,8 @@ def pseudo_labels(px: DataFrame, height: int, width: int, *, threshold: float =
         planes = planes.join(burned, ["r", "c"], "left").withColumn("building", F.coalesce("building", no))
     gate = F.coalesce("exg", F.lit(-1.0)) >= exg_threshold if exg_threshold is not None else F.lit(True)
     planes = planes.withColumn("green", gate).withColumn("removed", F.col("raw") & ~F.col("building") & F.col("green"))
-    opened = morphology.opening(planes.filter("removed").select("r", "c"), height, width)
-    comps = morphology.drop_small(morphology.label_components(opened), min_area)
+    opened = morphology.opened_components(planes.filter("removed").select("r", "c"), height, width)
+    comps = morphology.drop_small(opened, min_area)
     if exg_threshold is not None:
         comps = morphology.suppress_low_green(comps, px, roof_exg, roof_area)
     final = comps.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(True).alias("final"))

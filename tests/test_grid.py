@@ -12,6 +12,7 @@ from terralume.operators import morphology as M
 from terralume.operators import sampling as S
 from terralume.operators import terrain
 from terralume.operators import uncertainty as U
+from terralume.operators.ranks import placed
 
 
 def pixels(spark, mask):
@@ -95,6 +96,42 @@ def test_opening_and_small(spark):
     assert M.opening(pixels(spark, mask), 9, 9, 0).count() == mask.sum()
 
 
+@pytest.mark.parametrize("shrink,grow", [(1, 1), (2, 2), (2, 0), (0, 3), (5, 5)])
+def test_steps_over_seams(spark, monkeypatch, shrink, grow):
+    """Squares with a halo against whole-grid steps; the halo may be wider than a square."""
+    monkeypatch.setattr(M, "BLOCK", 8)
+    mask = np.random.default_rng(shrink * 10 + grow).random((29, 37)) < (0.97 if shrink else 0.05)
+    mask[9:26, 5:22] = bool(shrink)
+    df = pixels(spark, mask)
+    got = M.erode(df, shrink) if not grow else M.dilate(df, 29, 37, grow) if not shrink else M.opening(df, 29, 37, shrink)
+    want = mask
+    for step in [np.logical_and] * shrink + [np.logical_or] * grow:
+        p = np.pad(want, 1)
+        want = step.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
+    rows = [(r.r, r.c) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == want.sum() > 0
+    assert set(rows) == {(int(r), int(c)) for r, c in zip(*np.nonzero(want))}
+    assert got.schema["r"].dataType == df.schema["r"].dataType
+    if shrink == grow:
+        together = M.opened_components(df, 29, 37, shrink).collect()
+        apart = M.label_components(got).collect()
+        assert {(r.r, r.c, r.comp) for r in together} == {(r.r, r.c, r.comp) for r in apart}
+
+
+def test_steps_of_nothing(spark):
+    none = spark.createDataFrame([], "r int, c int")
+    assert M.opening(none, 9, 9).count() == M.erode(none).count() == M.opened_components(none, 9, 9).count() == 0
+    assert M.opened_components(spark.createDataFrame([(3, 3)], "r int, c int"), 9, 9).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_places_without_a_global_window(spark, n):
+    rows = spark.range(n).select((F.col("id") * 7919 % 1009).alias("k"), F.lit("x").alias("place_name"))
+    got = placed(rows, [F.col("k").desc()]).collect()
+    assert [r.k for r in sorted(got, key=lambda r: r.place)] == sorted((i * 7919 % 1009 for i in range(n)), reverse=True)
+    assert sorted(r.place for r in got) == list(range(n)) and all(r.n_rows == n and r.place_name == "x" for r in got)
+
+
 def test_burn_polygon_against_points(spark):
     ring = [(1.2, 1.1), (6.3, 2.0), (4.0, 6.6)]
     df = spark.createDataFrame([(1, [dict(x=x, y=y) for x, y in ring]), (2, None)], "id int, ring array<struct<x:double,y:double>>")
